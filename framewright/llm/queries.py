@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, flac, packing, quality, sharding
+from . import exact_dedup, flac, language, line_dedup, mixing, ngram_join, packing, pii, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op2_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.read_back(flac.flac_encode(table(spark, sf_dir, "documents")))
 
@@ -27,10 +31,37 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, declared=F.col("lang"), host=F.col("source"))
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fusion over raw web pages, with the markup's language and the address."""
+    pages = table(spark, sf_dir, "pages")
+    host, suffix = language.url_parts(F.col("url"))
+    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), "<[^>]*>", " ")
+    pages = pages.select("page_id", "url", text.alias("text"), F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-z]{2})", 1).alias("declared"))
+    return language.identify(pages, "page_id", "text", F.col("declared"), suffix, host).withColumnRenamed("doc_id", "page_id")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
@@ -45,12 +76,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_flac": op2_flac,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_ngram_join": op4_ngram_join,
     "op5_feistel": op5_feistel,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_mixing": op7_mixing,
+    "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "pages_language": pages_language,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
