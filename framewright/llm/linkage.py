@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import cut
@@ -45,34 +45,40 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def linked_groups(
-    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 6, pairs_a_row: int = 4
+    shared: DataFrame,
+    marks: DataFrame,
+    may_link: Column,
+    verify: Callable[[DataFrame], DataFrame],
+    rounds: int = 6,
+    pairs_a_row: int = 64,
 ) -> tuple[DataFrame, DataFrame]:
     """(groups as (node, group), links found as (a, b)).
 
-    ``shared`` has (key, node), keys with two nodes or more; ``verify`` keeps
-    the pairs (a, b), a < b, that truly link.
+    ``shared`` has (key, node); ``marks`` gives each node a long ``mark`` and
+    ``may_link`` is a condition on ``mark_a`` and ``mark_b`` that every link
+    fulfils; ``verify`` keeps the pairs (a, b), a < b, that truly link.
     """
-    shared = cut(shared.distinct())
-    sizes = shared.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("leader"))
+    shared = cut(shared.distinct().join(marks.select("node", "mark"), "node"))
+    sizes = shared.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "mark")).alias("leader")).where("c > 1")
     live = shared.join(sizes, "key")
-    pairs = live.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    tested = cut(pairs)
+    near = live.select(F.col("leader.node").alias("a"), F.col("leader.mark").alias("mark_a"), F.col("node").alias("b"), F.col("mark").alias("mark_b"))
+    tested = cut(near.where("a < b").where(may_link).select("a", "b").distinct())
     links = cut(verify(tested))
     groups = components(links)
-    wide = live.where("c > 2").select("key", "node")  # a key of two has had its pair verified
+    wide = live.where("c > 2").select("key", "node", "mark")  # a key of two has had its pair verified
     for turn in range(1, rounds + 1):
-        at = wide.join(groups, "node", "left").select("key", "node", F.coalesce("group", "node").alias("group"))
+        at = wide.join(groups, "node", "left").select("key", "node", "mark", F.coalesce("group", "node").alias("group"))
         mixed = at.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
         wide = cut(at.join(mixed, "key"))
         parts = wide.groupBy("key", "group").agg(F.count("*").alias("n"))
-        cross = parts.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-        rows, left = wide.agg(F.count("*")).first()[0], cross.agg(F.sum("pairs")).first()[0] or 0
+        cross = parts.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("rows"))
+        rows, left = cross.agg(F.sum("rows"), F.sum("pairs")).first()
         if not rows:
             break
         last = left <= pairs_a_row * rows + 50_000 or turn == rounds
         if last:
-            x, y = (wide.select("key", F.col("node").alias(n), F.col("group").alias(f"g{n}")) for n in "ab")
-            pairs = x.join(y, "key").where("ga <> gb AND a < b").select("a", "b").distinct()
+            x, y = (wide.select("key", F.col("node").alias(n), F.col("mark").alias(f"mark_{n}"), F.col("group").alias(f"g{n}")) for n in "ab")
+            pairs = x.join(y, "key").where("ga <> gb AND a < b").where(may_link).select("a", "b").distinct()
         else:  # another leader for each key, the same for keys that share nodes
             lead = wide.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("best"))
             near = wide.join(lead.select("key", F.col("best.node").alias("leader")), "key").where("node <> leader")
@@ -84,5 +90,5 @@ def linked_groups(
             groups = components(groups.select(F.col("node").alias("a"), F.col("group").alias("b")).unionByName(more))
         if last:
             break
-        wide = wide.select("key", "node")
+        wide = wide.select("key", "node", "mark")
     return groups, links
