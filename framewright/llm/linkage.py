@@ -17,31 +17,36 @@ from pyspark.sql import functions as F
 from .store import cut
 
 
+#: A table of up to this many narrow rows (some 2 MB) is broadcast, a longer one joined by a shuffle.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df``, to be broadcast if it is a written table of few rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, group) for the nodes of the edges (a, b): group is the smallest node reachable.
 
-    Large-star and small-star steps in turn; every step is a grouped minimum and
-    a join, written to the shared folder.
+    Large-star and small-star steps in turn, written to the shared folder, until
+    every node points at a root; both are a grouped minimum and a join.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
+    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
     for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        seen = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("to")), F.struct(F.col("v").alias("node"), F.lit(None).cast("long").alias("to"))))
+        ends = now.select(seen.alias("e")).groupBy("e.node").agg(F.min("e.to").alias("lo"), F.max("e.to").alias("hi"), F.count(F.when(F.col("e.to").isNull(), 1)).alias("below"))
+        if not ends.where("lo <> hi OR (lo IS NOT NULL AND below > 0)").head(1):
+            break
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = cut(small.where("u <> v").distinct())
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
+        turned = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        now = cut(turned.select("e.u", "e.v").where("u <> v").distinct())
     else:
         raise RuntimeError("groups did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("group")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("group"))
-    ).distinct()
+    return cut(ends.select("node", F.coalesce("lo", "node").alias("group")))
 
 
 def linked_groups(
@@ -49,41 +54,44 @@ def linked_groups(
     marks: DataFrame,
     may_link: Column,
     verify: Callable[[DataFrame], DataFrame],
-    rounds: int = 6,
-    pairs_a_row: int = 64,
+    rounds: int = 4,
+    pairs_a_row: int = 16,
 ) -> tuple[DataFrame, DataFrame]:
     """(groups as (node, group), links found as (a, b)).
 
-    ``shared`` has (key, node); ``marks`` gives each node a long ``mark`` and
+    ``shared`` has distinct rows (key, node); ``marks`` gives each node a long ``mark`` and
     ``may_link`` is a condition on ``mark_a`` and ``mark_b`` that every link
     fulfils; ``verify`` keeps the pairs (a, b), a < b, that truly link.
     """
-    shared = cut(shared.distinct().join(marks.select("node", "mark"), "node"))
-    sizes = shared.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "mark")).alias("leader")).where("c > 1")
-    live = shared.join(sizes, "key")
+    shared = cut(shared.join(small(marks.select("node", "mark")), "node"))
+    lead = cut(shared.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "mark")).alias("leader")).where("c > 1"))
+    live = shared.join(small(lead), "key")
     near = live.select(F.col("leader.node").alias("a"), F.col("leader.mark").alias("mark_a"), F.col("node").alias("b"), F.col("mark").alias("mark_b"))
     tested = cut(near.where("a < b").where(may_link).select("a", "b").distinct())
     links = cut(verify(tested))
     groups = components(links)
     wide = live.where("c > 2").select("key", "node", "mark")  # a key of two has had its pair verified
     for turn in range(1, rounds + 1):
-        at = wide.join(groups, "node", "left").select("key", "node", "mark", F.coalesce("group", "node").alias("group"))
-        mixed = at.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
-        wide = cut(at.join(mixed, "key"))
-        parts = wide.groupBy("key", "group").agg(F.count("*").alias("n"))
-        cross = parts.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("rows"))
-        rows, left = cross.agg(F.sum("rows"), F.sum("pairs")).first()
+        at = wide.join(small(groups), "node", "left").select("key", "node", "mark", F.coalesce("group", "node").alias("group"))
+        parts = cut(at.groupBy("key", "group").agg(F.count("*").alias("n")))
+        cross = parts.groupBy("key").agg(F.sum("n").alias("c"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts")).where("parts > 1")
+        cross = cut(cross.select("key", "c", ((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs")))
+        rows, left = cross.agg(F.sum("c"), F.sum("pairs")).first()
         if not rows:
             break
-        last = left <= pairs_a_row * rows + 50_000 or turn == rounds
-        if last:
-            x, y = (wide.select("key", F.col("node").alias(n), F.col("mark").alias(f"mark_{n}"), F.col("group").alias(f"g{n}")) for n in "ab")
-            pairs = x.join(y, "key").where("ga <> gb AND a < b").where(may_link).select("a", "b").distinct()
-        else:  # another leader for each key, the same for keys that share nodes
-            lead = wide.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("best"))
-            near = wide.join(lead.select("key", F.col("best.node").alias("leader")), "key").where("node <> leader")
-            pairs = near.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        fresh = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+        wide = cut(at.join(small(cross.select("key", "c")), "key"))
+        last = left <= pairs_a_row * rows or turn == rounds
+        # few nodes a key: all their pairs of different groups; more: another leader, the same for keys that share nodes
+        few = wide if last else wide.where(F.col("c") <= 2 * pairs_a_row)
+        x, y = (few.select("key", F.col("node").alias(n), F.col("mark").alias(f"mark_{n}"), F.col("group").alias(f"g{n}")) for n in "ab")
+        pairs = x.join(y, "key").where("ga <> gb AND a < b").where(may_link).select("a", "b")
+        if not last:
+            wide = wide.where(F.col("c") > 2 * pairs_a_row)
+            lead = wide.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "mark", "group")).alias("m"))
+            near = wide.join(lead, "key").where("node <> m.node AND group <> m.group")
+            near = near.select(F.least("m.node", "node").alias("a"), F.greatest("m.node", "node").alias("b"), F.col("m.mark").alias("mark_a"), F.col("mark").alias("mark_b"))
+            pairs = pairs.unionByName(near.where(may_link).select("a", "b"))
+        fresh = cut(pairs.distinct().join(small(tested), ["a", "b"], "left_anti"))
         more = cut(verify(fresh))
         tested, links = tested.unionByName(fresh), links.unionByName(more)
         if more.head(1):
