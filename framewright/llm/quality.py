@@ -65,20 +65,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, most_per_label: int = 3000, most_bytes: int = 16_384, dictionary_bytes: int = 65_536, level: int = 3) -> QualityModel:
-    """Fit on columns (doc_id, text, quality).
-
-    At most ``most_per_label`` rows of each label, chosen by a hash of the id,
-    and ``most_bytes`` of each reach the driver.  Even halves of them build the
-    dictionaries and odd halves the calibration, then the other way round.
+def fit(
+    docs: DataFrame, labels: DataFrame, most_per_label: int = 3000, most_bytes: int = 16_384, dictionary_bytes: int = 65_536, level: int = 3
+) -> QualityModel:
+    """Fit on documents (doc_id, text) and labels (doc_id, quality).
+
+    At most ``most_per_label`` ids of each label, chosen by a hash, and
+    ``most_bytes`` of each text reach the driver; the ids, so bounded, are
+    broadcast to the documents.  Even halves of them build the dictionaries and
+    odd halves the calibration, then the other way round.
     """
     rows = []
+    hashed = F.xxhash64("doc_id")
     for label in (0, 1):
-        part = labelled.where(F.col("quality") == label).select(
-            F.xxhash64("doc_id").alias("h"),
-            F.substring(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 1, most_bytes).alias("text"),
+        ids = labels.where(F.col("quality") == label).select("doc_id").distinct().orderBy(hashed, "doc_id").limit(most_per_label)
+        part = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(
+            hashed.alias("h"), F.substring(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 1, most_bytes).alias("text")
         )
-        rows += [(label, i % 2, bytes(r.text)) for i, r in enumerate(part.orderBy("h", "text").limit(most_per_label).collect())]
+        found = sorted((r.h, bytes(r.text)) for r in part.collect())
+        rows += [(label, i % 2, text) for i, (_, text) in enumerate(found)]
     if len({r[0] for r in rows}) < 2:
         return QualityModel(b".", b".", np.zeros(5), level)
     x, y = [], []

@@ -65,8 +65,7 @@ def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
-    labelled = labels.where(fold != 0).select("doc_id", "quality").join(docs.select("doc_id", "text"), "doc_id")
-    found = quality.score(docs, quality.fit(labelled))
+    found = quality.score(docs, quality.fit(docs, labels.where(fold != 0)))
     return found.select(
         "doc_id", (fold == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted")
     )

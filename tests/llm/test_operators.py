@@ -161,7 +161,7 @@ def test_quality_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").select("doc_id", "text", "quality")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
-    got = quality.score(docs, quality.fit(rows.where(fold != 0))).join(rows.where(fold == 0), "doc_id").toPandas()
+    got = quality.score(docs, quality.fit(docs, rows.where(fold != 0))).join(rows.where(fold == 0), "doc_id").toPandas()
     assert ((got.score >= 0.3) == (got.quality == 1)).mean() >= 0.9
 
 
