@@ -34,19 +34,21 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
     for _ in range(most_rounds):
+        n = 2 * now.count()
         seen = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("to")), F.struct(F.col("v").alias("node"), F.lit(None).cast("long").alias("to"))))
         ends = now.select(seen.alias("e")).groupBy("e.node").agg(F.min("e.to").alias("lo"), F.max("e.to").alias("hi"), F.count(F.when(F.col("e.to").isNull(), 1)).alias("below"))
+        ends = cut(ends, n)
         if not ends.where("lo <> hi OR (lo IS NOT NULL AND below > 0)").head(1):
             break
         both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), n)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         turned = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = cut(turned.select("e.u", "e.v").where("u <> v").distinct())
+        now = cut(turned.select("e.u", "e.v").where("u <> v").distinct(), n)
     else:
         raise RuntimeError("groups did not settle")
-    return cut(ends.select("node", F.coalesce("lo", "node").alias("group")))
+    return ends.select("node", F.coalesce("lo", "node").alias("group"))
 
 
 def linked_groups(
@@ -64,18 +66,18 @@ def linked_groups(
     fulfils; ``verify`` keeps the pairs (a, b), a < b, that truly link.
     """
     shared = cut(shared.join(small(marks.select("node", "mark")), "node"))
-    lead = cut(shared.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "mark")).alias("leader")).where("c > 1"))
+    lead = cut(shared.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "mark")).alias("leader")).where("c > 1"), shared.count())
     live = shared.join(small(lead), "key")
     near = live.select(F.col("leader.node").alias("a"), F.col("leader.mark").alias("mark_a"), F.col("node").alias("b"), F.col("mark").alias("mark_b"))
-    tested = cut(near.where("a < b").where(may_link).select("a", "b").distinct())
-    links = cut(verify(tested))
+    tested = cut(near.where("a < b").where(may_link).select("a", "b").distinct(), shared.count())
+    links = cut(verify(tested), tested.count())
     groups = components(links)
     wide = live.where("c > 2").select("key", "node", "mark")  # a key of two has had its pair verified
     for turn in range(1, rounds + 1):
         at = wide.join(small(groups), "node", "left").select("key", "node", "mark", F.coalesce("group", "node").alias("group"))
-        parts = cut(at.groupBy("key", "group").agg(F.count("*").alias("n")))
+        parts = cut(at.groupBy("key", "group").agg(F.count("*").alias("n")), wide.count())
         cross = parts.groupBy("key").agg(F.sum("n").alias("c"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts")).where("parts > 1")
-        cross = cut(cross.select("key", "c", ((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs")))
+        cross = cut(cross.select("key", "c", ((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs")), parts.count())
         rows, left = cross.agg(F.sum("c"), F.sum("pairs")).first()
         if not rows:
             break
@@ -91,8 +93,8 @@ def linked_groups(
             near = wide.join(lead, "key").where("node <> m.node AND group <> m.group")
             near = near.select(F.least("m.node", "node").alias("a"), F.greatest("m.node", "node").alias("b"), F.col("m.mark").alias("mark_a"), F.col("mark").alias("mark_b"))
             pairs = pairs.unionByName(near.where(may_link).select("a", "b"))
-        fresh = cut(pairs.distinct().join(small(tested), ["a", "b"], "left_anti"))
-        more = cut(verify(fresh))
+        fresh = cut(pairs.distinct().join(small(tested), ["a", "b"], "left_anti"), left if last else min(left, (pairs_a_row + 1) * rows))
+        more = cut(verify(fresh), fresh.count())
         tested, links = tested.unionByName(fresh), links.unionByName(more)
         if more.head(1):
             groups = components(groups.select(F.col("node").alias("a"), F.col("group").alias("b")).unionByName(more))

@@ -22,9 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written table."""
+#: A written table of ids and counts has a file for about so many rows.
+FILE_ROWS = 25_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the written table.
+
+    With ``rows``, about how many there are, short tables get a few files rather
+    than one for each shuffle partition; long ones stay as they are dealt.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-int(rows) // FILE_ROWS)))
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
