@@ -2,8 +2,9 @@
 
 ``linked_groups`` gets (key, node) rows and a function that verifies pairs.  A
 round compares each key's nodes with one leader, links what passes and merges
-linked nodes.  Then only pairs of one key whose nodes are still in different
-groups matter.  When few are left (or after some rounds) all of them are
+linked nodes.  Keys that have the same nodes, by count, least, largest and a
+64-bit fingerprint, are taken as one.  Then only pairs of one key whose nodes are
+still in different groups matter.  When few are left (or after some rounds) all of them are
 verified, so that no link between different groups is missed.
 """
 
@@ -66,7 +67,11 @@ def linked_groups(
     fulfils; ``verify`` keeps the pairs (a, b), a < b, that truly link.
     """
     shared = cut(shared.join(small(marks.select("node", "mark")), "node"))
-    lead = cut(shared.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "mark")).alias("leader")).where("c > 1"), shared.count())
+    lead = shared.groupBy("key").agg(
+        F.count("*").alias("c"), F.min(F.struct("node", "mark")).alias("leader"), F.max("node").alias("top"), F.bit_xor(F.xxhash64("node")).alias("print")
+    ).where("c > 1")
+    # keys with the same nodes (a passage in several documents gives many) give the same pairs: one of them is enough
+    lead = cut(lead.groupBy("c", "leader", "top", "print").agg(F.min("key").alias("key")).select("key", "c", "leader"), shared.count())
     live = shared.join(small(lead), "key")
     near = live.select(F.col("leader.node").alias("a"), F.col("leader.mark").alias("mark_a"), F.col("node").alias("b"), F.col("mark").alias("mark_b"))
     tested = cut(near.where("a < b").where(may_link).select("a", "b").distinct(), shared.count())
