@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import exact_dedup, flac, language, line_dedup, mixing, ngram_join, packing, pii, quality, sharding, store
 from framewright.llm.queries import word_tokenizer
+from framewright.llm.shingles import word_hashes
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, key string"
@@ -122,6 +123,15 @@ def test_keys_of_linked_sets_meet():
             assert keys[0] & keys[1], (len(a), len(b), both)
 
 
+def test_simhash_counts_every_bit():
+    lines = [b"a b c d e f", b"", " ".join(["x", "yy", "zz\u00e9"][i * i % 7 % 3] for i in range(3000)).encode(), b"q"]
+    found, words = line_dedup.simhashes(lines)
+    for line, simhash, n in zip(lines, found.tolist(), words.tolist(), strict=True):
+        hashes = [int(h) for h in word_hashes(np.frombuffer(line, np.uint8))[0]]
+        assert n == len(line.split())
+        assert simhash == sum(1 << i for i in range(63) if 2 * sum(h >> i & 1 for h in hashes) > n)
+
+
 def test_line_dedup(spark):
     line = "the quick brown fox jumps over the lazy dog near the river bank today"
     rows = [(1, f"{line}\nunique one two three four five six"), (2, f"{line.upper()}!!\nshort line"), (3, f"short line\n{line}"), (4, None), (5, "")]
