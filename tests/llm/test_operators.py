@@ -224,3 +224,41 @@ def test_pii_table(spark, edge):
     got = {r.doc_id: r for r in pii.find_pii(docs_of(spark, enumerate([*TEXTS, None]))).collect()}
     assert got[3].n_phone == 1 and got[3].spans == "phone:5:22" and got[6].spans == ""
     assert pii.find_pii(edge).count() == len(EDGE) and pii.find_pii(edge.limit(0)).count() == 0
+
+
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for k in range(n):
+        at = int(rng.integers(len(words)))
+        words[at : at + int(rng.integers(0, 2))] = [f"new{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10]}"] * int(rng.integers(0, 2))
+    return words
+
+
+def test_edited_lines_are_all_found(spark):
+    rng = np.random.default_rng(3)
+    names = ["".join("abcdefghij"[int(d)] for d in f"{i:04d}") for i in range(3000)]
+    lines = []
+    for n in (4, 5, 6, 8, 9, 10, 12, 14, 19, 20, 24, 30, 40, 60, 100):
+        for share in (0.01, 0.05, 0.1, 0.15, 0.2):
+            for _ in range(3):
+                base = [names[int(i)] for i in rng.integers(0, len(names), n)]
+                lines += [base, edited(rng, base, max(1, int(n * share)))]
+    lines = [x for x in lines if x]
+    want = {}
+    for i, x in enumerate(lines):
+        for j, y in enumerate(lines[:i]):
+            most = max(len(x), len(y)) // 5
+            if abs(len(x) - len(y)) <= most and sum((Counter(x) & Counter(y)).values()) >= max(len(x), len(y)) - most and word_edits(x, y) <= most:
+                want.setdefault(i, j)
+    assert len(want) > 120
+    got = {r.doc_id: r.n_dropped for r in line_dedup.drop_lines(docs_of(spark, [(i, " ".join(x)) for i, x in enumerate(lines)]), 1).collect()}
+    assert got == {i: int(i in want) for i in range(len(lines))}
