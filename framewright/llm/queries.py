@@ -40,7 +40,7 @@ def op5_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
+    left = line_dedup.drop_lines(table(spark, sf_dir, "documents"), min_words=1)
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

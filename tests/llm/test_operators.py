@@ -262,3 +262,15 @@ def test_edited_lines_are_all_found(spark):
     assert len(want) > 120
     got = {r.doc_id: r.n_dropped for r in line_dedup.drop_lines(docs_of(spark, [(i, " ".join(x)) for i, x in enumerate(lines)]), 1).collect()}
     assert got == {i: int(i in want) for i in range(len(lines))}
+
+
+def test_short_copies_go_in_the_query_and_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+    from framewright.llm import queries
+
+    rows = [(1, "All rights reserved\n12\n\nfirst text"), (2, "all rights RESERVED.\n12\n\nsecond text"), (3, "Menu"), (4, "menu!")]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 0), 2: (4, 1), 3: (1, 0), 4: (1, 1)}
+    left = {r.doc_id: r.text for r in corpus_pipeline.unique_lines(spark, docs_of(spark, rows), "").collect()}
+    assert left == {1: rows[0][1], 2: "12\n\nsecond text", 3: "Menu"}
