@@ -28,8 +28,12 @@ def candidates(blocks: DataFrame, refs: DataFrame, ends: DataFrame, lo: int = -2
     """In-frame candidate places of every block, reference and offset."""
     offsets = [F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias(c) for c in ("dx", "dy")]
     rows = blocks.join(refs, ["video_id", "f"]).join(ends, "video_id").select("*", offsets[0]).select("*", offsets[1])
-    inside = f"bx * {size} + dx >= 0 AND bx * {size} + dx + {size} <= w AND by * {size} + dy >= 0 AND by * {size} + dy + {size} <= h"
-    return rows.where(inside).select(*CANDIDATE)
+    return rows.where(_inside(size)).select(*CANDIDATE)
+
+
+def _inside(size: int) -> str:
+    """A block that leaves the frame has only its pixels inside it to match."""
+    return " AND ".join(f"b{c} * {size} + d{c} >= 0 AND b{c} * {size} + d{c} + least({size}, {e} - b{c} * {size}) <= {e}" for c, e in (("x", "w"), ("y", "h")))
 
 
 def frame_ends(luma: DataFrame) -> DataFrame:
@@ -44,12 +48,12 @@ def _plane_cost(found: DataFrame, plane: DataFrame, xy: tuple[str, str], values:
     own = plane.withColumns({"bx": F.expr(f"CAST({x} div {half} AS INT)"), "by": F.expr(f"CAST({y} div {half} AS INT)")})
     both = found.join(own, [*BLOCK]).withColumns({"_x": at("bx", "dx", x), "_y": at("by", "dy", y)}).drop(x, y)
     there = plane.select("video_id", F.col("f").alias("ref_f"), F.col(x).alias("_x"), F.col(y).alias("_y"), *[F.col(v).alias(f"{v}0") for v in values])
-    sums = [F.expr(f"CAST(sum(({v} - {v}0) * ({v} - {v}0)) AS BIGINT) AS s{v[0]}") for v in values]
+    sums = [F.expr(f"CAST(sum(({v} - {v}0) * ({v} - {v}0)) AS BIGINT) * {half * half} div count(*) AS s{v[0]}") for v in values]
     return both.join(there, ["video_id", "ref_f", "_x", "_y"]).groupBy(*CANDIDATE).agg(*sums)
 
 
 def match_cost(found: DataFrame, luma: DataFrame, chroma: DataFrame, size: int = 8) -> DataFrame:
-    """Cost of every candidate: sy + 4 su + 4 sv, i.e. the summed mean squares times 64 * 10^6."""
+    """Cost of every candidate: sy + 4 su + 4 sv, i.e. the summed mean squares times 64 * 10^6; sums over part of a block count as for the whole."""
     y = _plane_cost(found, luma, ("x", "y"), ["ym"], 1, size)
     c = _plane_cost(found, chroma, ("cx", "cy"), ["um", "vm"], 2, size)
     return y.join(c, list(CANDIDATE)).select(*CANDIDATE, F.expr("sy + 4 * su + 4 * sv AS cost"))
@@ -94,7 +98,7 @@ def pattern_search(blocks: DataFrame, luma: DataFrame, chroma: DataFrame, cut, w
         ring = F.coalesce(*[F.when(F.col("radius") == r, F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ring])) for r, ring in rings.items()])
         moves = state.select(*BLOCK, "ref_f", "cx", "cy", F.explode(ring).alias("o")).selectExpr(*BLOCK, "ref_f", "cx + o.i AS dx", "cy + o.j AS dy")
         moves = moves.where(f"abs(dx) <= {window} AND abs(dy) <= {window}").join(ends, "video_id")
-        moves = moves.where("bx * 8 + dx >= 0 AND bx * 8 + dx + 8 <= w AND by * 8 + dy >= 0 AND by * 8 + dy + 8 <= h").select(*CANDIDATE)
+        moves = moves.where(_inside(8)).select(*CANDIDATE)
         best = match_cost(moves, luma, chroma).groupBy(*BLOCK, "ref_f").agg(F.min(F.struct("cost", "dy", "dx")).alias("m"))
         stepped = state.join(best, [*BLOCK, "ref_f"])
         still = F.expr("m.dx = cx AND m.dy = cy")

@@ -67,7 +67,10 @@ def dead_zone(d, most: int):
 
 
 def residuals(vectors: DataFrame, luma: DataFrame, chroma: DataFrame) -> DataFrame:
-    """Differences of 8x8 targets to their matches in thousandths: (video_id, f, bx, by, chan, x, y, d) with x, y inside the block."""
+    """Differences of 8x8 targets to their matches in thousandths: (video_id, f, bx, by, chan, x, y, d) with x, y inside the block.
+
+    Places of a block outside the frame differ by 0.
+    """
     keys = ["video_id", "f", "bx", "by"]
     v = vectors.selectExpr("video_id", "f", "ref_f", "CAST((pos_x + span_x) div 8 AS INT) AS bx", "CAST((pos_y + span_y) div 8 AS INT) AS by", "pos_x", "pos_y")
 
@@ -82,7 +85,16 @@ def residuals(vectors: DataFrame, luma: DataFrame, chroma: DataFrame) -> DataFra
         each = F.explode(F.array(*[F.struct(F.lit(k).alias("chan"), dead_zone(F.col(c) - F.col(f"{c}0"), most).alias("d")) for k, c in names.items()]))
         return both.select(*keys, F.col("i").alias("x"), F.col("j").alias("y"), each.alias("e")).select(*keys, "e.chan", "x", "y", "e.d")
 
-    return plane(luma, ("x", "y"), 1, {"Y": "ym"}, 1000).unionByName(plane(chroma, ("cx", "cy"), 2, {"U": "um", "V": "vm"}, 2000))
+    def outside(df, xy, step, chans):
+        half = 8 // step
+        ends = df.groupBy("video_id").agg(*[(F.max(c) + 1).alias(e) for c, e in zip(xy, "wh", strict=True)])
+        cut_off = v.select(*keys).join(ends, "video_id").where(f"(bx + 1) * {half} > w OR (by + 1) * {half} > h")
+        places = cut_off.selectExpr("*", f"explode(sequence(0, {half - 1})) AS x").selectExpr("*", f"explode(sequence(0, {half - 1})) AS y")
+        each = F.explode(F.array(*[F.lit(k) for k in chans])).alias("chan")
+        return places.where(f"bx * {half} + x >= w OR by * {half} + y >= h").select(*keys, each, "x", "y", F.lit(0).cast("long").alias("d"))
+
+    inside = plane(luma, ("x", "y"), 1, {"Y": "ym"}, 1000).unionByName(plane(chroma, ("cx", "cy"), 2, {"U": "um", "V": "vm"}, 2000))
+    return inside.unionByName(outside(luma, ("x", "y"), 1, "Y")).unionByName(outside(chroma, ("cx", "cy"), 2, "UV"))
 
 
 def encode_residuals(residual: DataFrame) -> DataFrame:
