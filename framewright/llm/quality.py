@@ -71,11 +71,12 @@ def fit(
     """Fit on documents (doc_id, text) and labels (doc_id, quality).
 
     At most ``most_per_label`` ids of each label, chosen by a hash, and
-    ``most_bytes`` of each text reach the driver; the ids, so bounded, are
-    broadcast to the documents.  Even halves of them build the dictionaries and
-    odd halves the calibration, then the other way round.
+    ``most_bytes`` of each text reach the driver for the dictionaries; the ids,
+    so bounded, are broadcast to the documents.  Even halves of them build the
+    dictionaries and odd halves the calibration, then the other way round.  The
+    calibration's features are those of the whole texts, taken on the executors.
     """
-    rows = []
+    rows, parts = [], []
     hashed = F.xxhash64("doc_id")
     for label in (0, 1):
         ids = labels.where(F.col("quality") == label).select("doc_id").distinct().orderBy(hashed, "doc_id").limit(most_per_label)
@@ -84,20 +85,39 @@ def fit(
         )
         found = sorted((r.h, bytes(r.text)) for r in part.collect())
         rows += [(label, i % 2, text) for i, (_, text) in enumerate(found)]
+        halves: dict[int, int] = {}
+        for i, (h, _) in enumerate(found):
+            halves.setdefault(h, i % 2)
+        parts.append((label, docs.join(F.broadcast(ids), "doc_id", "left_semi").select(hashed.alias("h"), "text"), halves))
     if len({r[0] for r in rows}) < 2:
         return QualityModel(b".", b".", np.zeros(5), level)
+    pairs = [tuple(_dictionary([t for q, i, t in rows if q == label and i == half], dictionary_bytes) for label in (1, 0)) for half in (0, 1)]
     x, y = [], []
-    for half in (0, 1):
-        dicts = [_dictionary([t for q, i, t in rows if q == label and i == half], dictionary_bytes) for label in (1, 0)]
-        by = _compressors(*dicts, level)
-        for q, i, t in rows:
-            if i != half:
-                x.append(_features(t, by))
-                y.append(q)
+    for label, part, halves in parts:
+        found = _whole_features(part, halves, pairs, level)
+        x += found
+        y += [label] * len(found)
     dicts = [_dictionary([t for q, _, t in rows if q == label], dictionary_bytes) for label in (1, 0)]
     return QualityModel(*dicts, _logistic(np.array(x), np.array(y, float)), level)
 
 
+def _whole_features(part: DataFrame, halves: dict[int, int], pairs: list[tuple], level: int) -> list[list[float]]:
+    """Features of whole texts of rows (h, text), by the dictionaries of the half that h isn't in."""
+    shared = part.sparkSession.sparkContext.broadcast((halves, pairs))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        halves, pairs = shared.value
+        by = [_compressors(*p, level) for p in pairs]
+        for batch in batches:
+            h = batch.column(0).to_pylist()
+            x = [_features(t.as_buffer().to_pybytes() if t.is_valid else b"", by[1 - halves[k]]) for k, t in zip(h, batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["h", "x"])
+
+    return [x for _, x in sorted((r.h, list(r.x)) for r in part.mapInArrow(run, "h long, x array<double>").collect())]
+
+
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of every row; null texts count as empty.
 
