@@ -7,6 +7,8 @@ hash of their id with probability proportional to their cell's factor.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,21 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return own.select(margin, (F.col("t") / total).alias("target"))
 
 
-def rake_driver(rows: list[tuple], targets: list[dict], rounds: int, tolerance: float) -> dict[tuple, float]:
+def _goes_on(errors: list[float], rounds: int | None, tolerance: float) -> bool:
+    """Whether another round is due: until the tolerance, or until a hundred rounds bring next to nothing."""
+    if errors and errors[-1] < tolerance:
+        return False
+    if rounds is not None:
+        return len(errors) < rounds
+    return len(errors) <= 100 or errors[-1] < 0.99 * errors[-101]
+
+
+def _report(errors: list[float], tolerance: float) -> None:
+    if errors and errors[-1] >= tolerance:
+        warnings.warn(f"raking left a marginal share {errors[-1]:.3g} off its target after {len(errors)} rounds", stacklevel=3)
+
+
+def rake_driver(rows: list[tuple], targets: list[dict], rounds: int | None, tolerance: float) -> dict[tuple, float]:
     """Factor of each cell from (source, lang, topic, tokens) rows."""
     import numpy as np
 
@@ -49,19 +65,25 @@ def rake_driver(rows: list[tuple], targets: list[dict], rounds: int, tolerance:
         at = {v: k for k, v in enumerate(names)}
         codes.append(np.array([at[r[i]] for r in rows]))
         goals.append(np.array([target[v] for v in names]))
-    for _ in range(rounds):
+    errors: list[float] = []
+    while _goes_on(errors, rounds, tolerance):
         worst = 0.0
         for code, goal in zip(codes, goals, strict=True):
             now = np.bincount(code, weight, len(goal))
             worst = max(worst, float(np.abs(now - goal).max()))
             weight = weight * (goal / np.maximum(now, 1e-300))[code]
-        if worst < tolerance:
-            break
+        errors.append(worst)
+    _report(errors, tolerance)
     return {r[:3]: w * float(tokens.sum()) / t for r, w, t in zip(rows, weight.tolist(), tokens.tolist(), strict=True)}
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 50, tolerance: float = 1e-9, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """(source, lang, topic, tokens, factor): tokens * factor meets the targets' shares of all tokens."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int | None = None, tolerance: float = 1e-9, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """(source, lang, topic, tokens, factor): tokens * factor meets the targets' shares of all tokens.
+
+    Without ``rounds`` it goes on until the tolerance is met.  Sparse cells may
+    have no solution: it stops where a hundred rounds take less than 1% off the
+    worst error, and a warning tells the error left.
+    """
     spark = cells.sparkSession
     filled = cut(cells.where("tokens > 0"))
     if filled.limit(driver_cells + 1).count() <= driver_cells:
@@ -73,15 +95,16 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 50, tole
         return spark.createDataFrame([(*r, found[r[:3]]) for r in rows], "source string, lang string, topic string, tokens long, factor double")
     total = filled.agg(F.sum("tokens")).first()[0]
     now = filled.withColumn("factor", F.lit(1.0))
-    for _ in range(rounds):
+    errors: list[float] = []
+    while _goes_on(errors, rounds, tolerance):
         worst = 0.0
         for m in MARGINS:
             share = now.groupBy(m).agg((F.sum(F.col("tokens") * F.col("factor")) / total).alias("share")).join(targets[m], m)
             now = cut(salted_lookup(now, share, [m], F.struct(*MARGINS)).withColumn("factor", F.col("factor") * F.col("target") / F.col("share")))
             worst = max(worst, now.agg(F.max(F.abs(F.col("share") - F.col("target")))).first()[0])
             now = now.drop("share", "target")
-        if worst < tolerance:
-            break
+        errors.append(worst)
+    _report(errors, tolerance)
     return now
 
 
@@ -89,7 +112,8 @@ def mix(docs: DataFrame, power: float = 0.95, seed: int = 11, id_col: str = "doc
     """One row per document: doc_id, source, lang, topic, tokens, factor, probability, sampled.
 
     Probabilities are the raked factors over the largest one, so expected tokens
-    meet the target marginals exactly.  Null sources and languages form the
+    meet the target marginals to 1e-9 of all tokens, or, where the cells allow no
+    solution, as far as a warning tells.  Null sources and languages form the
     group ''; texts without words count no tokens, carry no weight and get the
     smallest probability of their corpus; rows that repeat an id share its draw;
     an empty table gives an empty result; clashing extra columns are ignored.
