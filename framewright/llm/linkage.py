@@ -1,33 +1,35 @@
 """From candidate keys to connected groups, without all pairs of a key.
 
-``linked_groups`` gets (key, node) rows and a function that verifies pairs.  A
-round compares each key's nodes with one leader, links what passes and merges
-linked nodes.  Keys that have the same nodes, by count, least, largest and a
-64-bit fingerprint, are taken as one.  Then only pairs of one key whose nodes are
-still in different groups matter.  When few are left (or after some rounds) all of them are
-verified, so that no link between different groups is missed.
+``linked_groups`` gets (key, node, leader) rows and a function that verifies
+pairs.  First every key's nodes are compared with one leader, and linked nodes
+merge into groups.  From then on only keys whose nodes are in different groups
+matter.  One of up to ``few`` nodes has its pairs of different groups looked at: a
+bounded number for each row.  A larger one is split: its nodes get finer keys, so
+chosen that any two that may link and are not linked by the split itself have one
+in common.  Finer keys go the same way until no key has nodes of different groups.
+No link between different groups is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import FILE_ROWS, Scratch
 
+#: A written table of up to this many bytes is broadcast, a longer one joined by a shuffle.
+SMALL_BYTES = 4 << 20
 
-#: A table of up to this many narrow rows (some 2 MB) is broadcast, a longer one joined by a shuffle.
-SMALL_ROWS = 100_000
 
-
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df``, to be broadcast if it is a written table of few rows."""
+def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """``df``, to be broadcast if it is a written table that is short for its rows' size."""
+    rows = SMALL_BYTES // row_bytes
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, cut: Callable, most_rounds: int = 60) -> DataFrame:
     """(node, group) for the nodes of the edges (a, b): group is the smallest node reachable.
 
     Large-star and small-star steps in turn, written to the shared folder, until
@@ -52,58 +54,54 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return ends.select("node", F.coalesce("lo", "node").alias("group"))
 
 
+def all_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one key and different groups from rows (key, node, group) of short keys."""
+    x, y = (rows.select("key", F.col("node").alias(s), F.col("group").alias("g" + s)) for s in "ab")
+    return x.join(y, "key").where("ga <> gb AND a < b").select("a", "b").distinct()
+
+
 def linked_groups(
     shared: DataFrame,
-    marks: DataFrame,
-    may_link: Column,
     verify: Callable[[DataFrame], DataFrame],
-    rounds: int = 4,
-    pairs_a_row: int = 16,
-) -> tuple[DataFrame, DataFrame]:
-    """(groups as (node, group), links found as (a, b)).
-
-    ``shared`` has distinct rows (key, node); ``marks`` gives each node a long ``mark`` and
-    ``may_link`` is a condition on ``mark_a`` and ``mark_b`` that every link
-    fulfils; ``verify`` keeps the pairs (a, b), a < b, that truly link.
+    split: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+    tables: Scratch,
+    pairs_of: Callable[[DataFrame], DataFrame] = all_pairs,
+    few: int = 16,
+    most_turns: int = 200,
+) -> DataFrame:
+    """(node, group) of the nodes that link with another one.
+
+    ``shared`` has (key, node, leader) rows of keys that two nodes or more have,
+    the leader being any one of them.  ``verify`` keeps the pairs (a, b) that
+    link.  ``pairs_of`` makes the pairs of keys of up to ``few`` nodes; it may
+    leave out pairs that can't link.  ``split`` turns rows (key, node, group, c)
+    of larger keys into links (a, b) and the finer keys' rows (key, node).
     """
-    shared = cut(shared.join(small(marks.select("node", "mark")), "node"))
-    lead = shared.groupBy("key").agg(
-        F.count("*").alias("c"), F.min(F.struct("node", "mark")).alias("leader"), F.max("node").alias("top"), F.bit_xor(F.xxhash64("node")).alias("print")
-    ).where("c > 1")
-    # keys with the same nodes (a passage in several documents gives many) give the same pairs: one of them is enough
-    lead = cut(lead.groupBy("c", "leader", "top", "print").agg(F.min("key").alias("key")).select("key", "c", "leader"), shared.count())
-    live = shared.join(small(lead), "key")
-    near = live.select(F.col("leader.node").alias("a"), F.col("leader.mark").alias("mark_a"), F.col("node").alias("b"), F.col("mark").alias("mark_b"))
-    tested = cut(near.where("a < b").where(may_link).select("a", "b").distinct(), shared.count())
-    links = cut(verify(tested), tested.count())
-    groups = components(links)
-    wide = live.where("c > 2").select("key", "node", "mark")  # a key of two has had its pair verified
-    for turn in range(1, rounds + 1):
-        at = wide.join(small(groups), "node", "left").select("key", "node", "mark", F.coalesce("group", "node").alias("group"))
-        parts = cut(at.groupBy("key", "group").agg(F.count("*").alias("n")), wide.count())
-        cross = parts.groupBy("key").agg(F.sum("n").alias("c"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts")).where("parts > 1")
-        cross = cut(cross.select("key", "c", ((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs")), parts.count())
-        rows, left = cross.agg(F.sum("c"), F.sum("pairs")).first()
+    cut = tables.cut
+    pair = [F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")]
+    fresh = cut(shared.where("node <> leader").select(*pair).distinct())
+    tested, keys = fresh, shared.select("key", "node")
+    links = cut(verify(fresh), fresh.count(), deal=True)
+    groups = components(links, cut)
+    for _ in range(most_turns):
+        at = keys.join(small(groups), "node", "left").select("key", "node", F.coalesce("group", "node").alias("group"))
+        cross = at.groupBy("key").agg(
+            F.count("*").alias("c"), F.min("group").alias("lo"), F.max("group").alias("hi"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("print")
+        ).where("lo < hi")
+        # keys with the same nodes (a passage in several documents gives many) give the same pairs: one of them is enough
+        cross = cut(cross.groupBy("c", "first", "last", "print").agg(F.min("key").alias("key")).select("key", "c"), FILE_ROWS)
+        rows, most = cross.agg(F.sum("c"), F.max("c")).first()
         if not rows:
-            break
-        wide = cut(at.join(small(cross.select("key", "c")), "key"))
-        last = left <= pairs_a_row * rows or turn == rounds
-        # few nodes a key: all their pairs of different groups; more: another leader, the same for keys that share nodes
-        few = wide if last else wide.where(F.col("c") <= 2 * pairs_a_row)
-        x, y = (few.select("key", F.col("node").alias(n), F.col("mark").alias(f"mark_{n}"), F.col("group").alias(f"g{n}")) for n in "ab")
-        pairs = x.join(y, "key").where("ga <> gb AND a < b").where(may_link).select("a", "b")
-        if not last:
-            wide = wide.where(F.col("c") > 2 * pairs_a_row)
-            lead = wide.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "mark", "group")).alias("m"))
-            near = wide.join(lead, "key").where("node <> m.node AND group <> m.group")
-            near = near.select(F.least("m.node", "node").alias("a"), F.greatest("m.node", "node").alias("b"), F.col("m.mark").alias("mark_a"), F.col("mark").alias("mark_b"))
-            pairs = pairs.unionByName(near.where(may_link).select("a", "b"))
-        fresh = cut(pairs.distinct().join(small(tested), ["a", "b"], "left_anti"), left if last else min(left, (pairs_a_row + 1) * rows))
-        more = cut(verify(fresh), fresh.count())
-        tested, links = tested.unionByName(fresh), links.unionByName(more)
+            return groups
+        wide = cut(at.join(small(cross), "key"), rows)
+        fresh = cut(pairs_of(wide.where(F.col("c") <= few)).join(tested, ["a", "b"], "left_anti"), rows)
+        more = cut(verify(fresh), fresh.count(), deal=True)
+        tested = tested.unionByName(fresh)
+        if most > few:
+            sure, finer = split(wide.where(F.col("c") > few))
+            more, keys = more.unionByName(sure), cut(finer)
         if more.head(1):
-            groups = components(groups.select(F.col("node").alias("a"), F.col("group").alias("b")).unionByName(more))
-        if last:
-            break
-        wide = wide.select("key", "node", "mark")
-    return groups, links
+            groups = components(groups.select(F.col("node").alias("a"), F.col("group").alias("b")).unionByName(more), cut)
+        if most <= few:
+            return groups
+    raise RuntimeError("keys did not settle")

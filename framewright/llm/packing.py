@@ -59,16 +59,16 @@ def _encode_cores(tok, path: str, words: list[str]) -> list[bytes]:
 
 
 class _Known:
-    """Ids of the distinct parts a worker has met, found by their 64-bit fingerprints."""
+    """Ids of the distinct parts a worker has met, found by their bytes."""
 
     def __init__(self) -> None:
         import numpy as np
 
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, "<u4")
         self.start, self.count, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def add(self, hashes: list[int], codes: list[bytes]) -> None:
+    def add(self, parts: list[bytes], codes: list[bytes]) -> None:
         import numpy as np
 
         flat = np.frombuffer(b"".join(codes), "<u4")
@@ -82,7 +82,7 @@ class _Known:
         self.start[n : n + len(codes)] = self.used + np.cumsum(counts) - counts
         self.count[n : n + len(codes)] = counts
         self.used += len(flat)
-        self.slot.update(zip(hashes, range(n, n + len(codes)), strict=True))
+        self.slot.update(zip(parts, range(n, n + len(codes)), strict=True))
 
 
 def _classes():
@@ -99,7 +99,7 @@ def _encode_slice(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of texts of at most PIECE bytes in all."""
     import numpy as np
 
-    from .shingles import span_hashes
+    from .shingles import Spans
 
     tok = _tokenizer(path)
     if ("known", path) not in _loaded or len(_loaded["known", path].slot) > _KEPT_WORDS:
@@ -112,8 +112,11 @@ def _encode_slice(texts: list[bytes], path: str) -> list[bytes]:
     begins = (kind > 0) & ((last == 0) | ((kind == 1) & (last == 2)) | ((kind == 2) & (last == 1)))
     start = np.flatnonzero(begins)
     end = np.flatnonzero((last > 0) & ((kind == 0) | begins))
-    parts, first, where = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-    keys = parts.tolist()
+    spans = Spans(data, start, end)
+    _, first, where = np.unique(spans.hashes(), return_index=True, return_inverse=True)
+    if not spans.equal(first[where]):  # two parts share a fingerprint
+        return [_whole(t, path) for t in texts]
+    keys = [spans.bytes(i) for i in first.tolist()]
     slots = np.fromiter((known.slot.get(k, -1) for k in keys), np.int64, len(keys))
     new = np.flatnonzero(slots < 0)
     if len(new):

@@ -1,37 +1,32 @@
 """Word and shingle fingerprints of whole texts, vectorised inside a task.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased.  A word's
-64-bit fingerprint is a polynomial over random byte values, mixed; a shingle's
-is a mixed combination of its words'.  Equality of sets is equality of
-fingerprints: two different 5-word sequences share one with probability 2**-64.
+64-bit fingerprint mixes its bytes in, eight at a time; long words are hashed by
+BLAKE2.  A shingle's is a mixed combination of its words'.  Equality of sets is
+equality of fingerprints: two different 5-word sequences share one with
+probability 2**-64.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _RNG = np.random.default_rng(7)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_MUL = 0x9E3779B97F4A7C15
-_INV = pow(_MUL, -1, 2**64)
-#: Texts are hashed in pieces of this many bytes, so that work arrays stay small.
+#: Texts are hashed in pieces of about this many bytes, so that work arrays stay small.
 PIECE = 1 << 20
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _COEF = (_RNG.integers(1, 2**63, 8, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 WIDTH = 5
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.full(PIECE + 2, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW, _INVPOW = _powers(_MUL), _powers(_INV)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = x ^ (x >> np.uint64(30))
@@ -41,51 +36,61 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Fingerprints of the spans of at most PIECE bytes, A-Z lower-cased."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _POW[: len(data)], out=total[1:])
-    raw = (total[end] - total[start]) * _INVPOW[start]
-    return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+class Spans:
+    """Spans of a byte array, A-Z lower-cased, eight bytes at a time."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        self.low = np.append(_LOWER[data], np.zeros(8, np.uint8))
+        self.eight = np.ndarray((len(data) + 1,), "<u8", self.low, strides=(1,))
+        self.start, self.size = start, end - start
+
+    def chunk(self, which: np.ndarray, j: int) -> np.ndarray:
+        """The j-th eight bytes of some spans that reach that far, zeros after their end."""
+        return self.eight[self.start[which] + 8 * j] & _MASK[np.minimum(self.size[which] - 8 * j, 8)]
+
+    def bytes(self, i: int) -> bytes:
+        return self.low[self.start[i] : self.start[i] + self.size[i]].tobytes()
+
+    def hashes(self) -> np.ndarray:
+        out = self.size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for j in range(LONG_WORD // 8):
+            live = np.flatnonzero((self.size > 8 * j) & (self.size <= LONG_WORD))
+            if not len(live):
+                break
+            out[live] = mix(out[live] * np.uint64(0xD6E8FEB86659FD93) ^ self.chunk(live, j))
+        for i in np.flatnonzero(self.size > LONG_WORD).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.bytes(i), digest_size=8).digest(), "little")
+        return out
+
+    def equal(self, other: np.ndarray) -> bool:
+        """Whether every span has the bytes of the span that ``other`` names."""
+        if (self.size != self.size[other]).any():
+            return False
+        for j in range(LONG_WORD // 8):
+            live = np.flatnonzero((self.size > 8 * j) & (self.size <= LONG_WORD))
+            if len(live) and (self.chunk(live, j) != self.chunk(other[live], j)).any():
+                return False
+        return all(self.bytes(i) == self.bytes(other[i]) for i in np.flatnonzero(self.size > LONG_WORD).tolist())
 
 
 def _piece_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, start) of every word of at most PIECE bytes."""
     gap = np.ones(len(data) + 2, bool)
     gap[1:-1] = _SPACE[data]
     edge = np.flatnonzero(gap[1:] != gap[:-1])
-    start, end = edge[::2], edge[1::2]
-    return span_hashes(data, start, end), start
+    return Spans(data, edge[::2], edge[1::2]).hashes(), edge[::2]
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, start) of every word of a byte array of any length.
-
-    A word longer than a piece is hashed piece by piece and the parts combined.
-    """
-    if len(data) <= PIECE:
-        return _piece_words(data)
-    hashes, starts, at = [], [], 0
+    """(fingerprint, start) of every word of a byte array of any length, taken in pieces that end at blanks."""
+    hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
     while at < len(data):
-        to = min(len(data), at + PIECE)
-        if to < len(data):
-            space = np.flatnonzero(_SPACE[data[at:to]])
+        to = at + PIECE
+        while to < len(data):
+            space = np.flatnonzero(_SPACE[data[to : to + PIECE]])
             if len(space):
-                to = at + int(space[-1]) + 1
-            else:  # inside one huge word: find its end
-                end = to
-                while end < len(data) and not _SPACE[data[end : end + PIECE]].any():
-                    end = min(len(data), end + PIECE)
-                if end < len(data):
-                    end += int(np.argmax(_SPACE[data[end : end + PIECE]]))
-                parts = np.array([_piece_words(data[i : min(end, i + PIECE)])[0][0] for i in range(at, end, PIECE)])
-                whole = np.uint64(len(parts))
-                for part in parts:
-                    whole = mix(np.array([whole * np.uint64(_MUL) + part], np.uint64))[0]
-                hashes.append(np.array([whole], np.uint64))
-                starts.append(np.array([at]))
-                at = end
-                continue
+                to += int(space[0])
+                break
+            to += PIECE
         h, s = _piece_words(data[at:to])
         hashes.append(h)
         starts.append(s + at)
