@@ -63,7 +63,7 @@ def all_pairs(rows: DataFrame) -> DataFrame:
 def linked_groups(
     shared: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
-    split: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+    split: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]],
     tables: Scratch,
     pairs_of: Callable[[DataFrame], DataFrame] = all_pairs,
     few: int = 16,
@@ -73,9 +73,11 @@ def linked_groups(
 
     ``shared`` has (key, node, leader) rows of keys that two nodes or more have,
     the leader being any one of them.  ``verify`` keeps the pairs (a, b) that
-    link.  ``pairs_of`` makes the pairs of keys of up to ``few`` nodes; it may
-    leave out pairs that can't link.  ``split`` turns rows (key, node, group, c)
-    of larger keys into links (a, b) and the finer keys' rows (key, node).
+    link.  ``pairs_of`` makes the pairs of keys of up to ``few`` nodes from rows
+    (key, node, group, c, alike), ``alike`` being the number of keys with the same
+    nodes; it may leave out pairs that can't link.  ``split`` turns such rows
+    of larger keys into links (a, b), pairs (a, b) to be verified, and the finer
+    keys' rows (key, node).
     """
     cut = tables.cut
     pair = [F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")]
@@ -89,17 +91,20 @@ def linked_groups(
             F.count("*").alias("c"), F.min("group").alias("lo"), F.max("group").alias("hi"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("print")
         ).where("lo < hi")
         # keys with the same nodes (a passage in several documents gives many) give the same pairs: one of them is enough
-        cross = cut(cross.groupBy("c", "first", "last", "print").agg(F.min("key").alias("key")).select("key", "c"), FILE_ROWS)
+        cross = cross.groupBy("c", "first", "last", "print").agg(F.min("key").alias("key"), F.count("*").alias("alike"))
+        cross = cut(cross.select("key", "c", "alike"), FILE_ROWS)
         rows, most = cross.agg(F.sum("c"), F.max("c")).first()
         if not rows:
             return groups
         wide = cut(at.join(small(cross), "key"), rows)
-        fresh = cut(pairs_of(wide.where(F.col("c") <= few)).join(tested, ["a", "b"], "left_anti"), rows)
+        fresh, sure = pairs_of(wide.where(F.col("c") <= few)), None
+        if most > few:
+            sure, probes, finer = split(wide.where(F.col("c") > few))
+            fresh, keys = fresh.unionByName(probes).distinct(), cut(finer)
+        fresh = cut(fresh.join(tested, ["a", "b"], "left_anti"), rows)
         more = cut(verify(fresh), fresh.count(), deal=True)
+        more = more if sure is None else more.unionByName(sure)
         tested = tested.unionByName(fresh)
-        if most > few:
-            sure, finer = split(wide.where(F.col("c") > few))
-            more, keys = more.unionByName(sure), cut(finer)
         if more.head(1):
             groups = components(groups.select(F.col("node").alias("a"), F.col("group").alias("b")).unionByName(more), cut)
         if most <= few:
