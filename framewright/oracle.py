@@ -89,12 +89,16 @@ CTES = {
         USING (video_id, f, bx, by, ref_f, dx, dy)""",
     "ranked": "SELECT *, CAST(row_number() OVER (PARTITION BY video_id, f, bx, by ORDER BY cost, ref_f, dy, dx) AS INT) AS place FROM cost",
     "vec": "SELECT r.video_id, r.f, r.ref_f, ref, bx * 8 + dx AS pos_x, by * 8 + dy AS pos_y, -dx AS span_x, -dy AS span_y, 8 AS size, cost, bx, by FROM ranked r JOIN refs USING (video_id, f, ref_f) WHERE place = 1",
-    "resid": """SELECT v.video_id, v.f, bx, by, 'Y' AS chan, a.x % 8 AS x, a.y % 8 AS y, CASE WHEN abs(a.ym - b.ym) > 1000 THEN a.ym - b.ym ELSE 0 END AS d FROM vec v
-         JOIN luma a ON a.video_id = v.video_id AND a.f = v.f AND a.x // 8 = bx AND a.y // 8 = by JOIN luma b ON b.video_id = v.video_id AND b.f = ref_f AND b.x = pos_x + a.x % 8 AND b.y = pos_y + a.y % 8
-        UNION ALL SELECT video_id, f, bx, by, chan, x, y, CASE WHEN abs(e) > 2000 THEN e ELSE 0 END FROM (
-         SELECT v.video_id, v.f, bx, by, unnest(['U', 'V']) AS chan, a.cx % 4 AS x, a.cy % 4 AS y, unnest([a.um - b.um, a.vm - b.vm]) AS e FROM vec v
-         JOIN chroma a ON a.video_id = v.video_id AND a.f = v.f AND a.cx // 4 = bx AND a.cy // 4 = by
-         JOIN chroma b ON b.video_id = v.video_id AND b.f = ref_f AND b.cx = CAST(floor(pos_x / 2.0) AS INT) + a.cx % 4 AND b.cy = CAST(floor(pos_y / 2.0) AS INT) + a.cy % 4)""",
+    "at_y": f"SELECT video_id, f, bx, by, ref_f, i AS x, j AS y, bx * 8 + i AS ax, by * 8 + j AS ay, pos_x + i AS rx, pos_y + j AS ry FROM vec, {_axis(8)} s(i), {_axis(8)} t(j)",
+    "at_c": f"SELECT video_id, f, bx, by, ref_f, i AS x, j AS y, bx * 4 + i AS ax, by * 4 + j AS ay, CAST(floor(pos_x / 2.0) AS INT) + i AS rx, CAST(floor(pos_y / 2.0) AS INT) + j AS ry FROM vec, {_axis(4)} s(i), {_axis(4)} t(j)",
+    # one join a step, so that no plan joins a plane with itself first
+    "cur_y": "SELECT p.*, a.ym AS am FROM at_y p JOIN luma a ON a.video_id = p.video_id AND a.f = p.f AND a.x = ax AND a.y = ay",
+    "pair_y": "SELECT p.*, b.ym AS bm, CASE WHEN abs(am - b.ym) > 1000 THEN am - b.ym ELSE 0 END AS d FROM cur_y p JOIN luma b ON b.video_id = p.video_id AND b.f = ref_f AND b.x = rx AND b.y = ry",
+    "cur_c": "SELECT p.*, um AS ua, vm AS va FROM at_c p JOIN chroma a ON a.video_id = p.video_id AND a.f = p.f AND a.cx = ax AND a.cy = ay",
+    "pair_c": "SELECT p.*, ua - um AS du, va - vm AS dv FROM cur_c p JOIN chroma b ON b.video_id = p.video_id AND b.f = ref_f AND b.cx = rx AND b.cy = ry",
+    "resid": """SELECT video_id, f, bx, by, 'Y' AS chan, x, y, d FROM pair_y
+        UNION ALL SELECT video_id, f, bx, by, 'U', x, y, CASE WHEN abs(du) > 2000 THEN du ELSE 0 END FROM pair_c
+        UNION ALL SELECT video_id, f, bx, by, 'V', x, y, CASE WHEN abs(dv) > 2000 THEN dv ELSE 0 END FROM pair_c""",
     "res_y": "SELECT video_id, f, bx, by, chan, x, y, d / 1000.0 AS val FROM resid WHERE chan = 'Y'",
     "res_c": "SELECT video_id, f, bx, by, chan, x, y, d / 1000.0 AS val FROM resid WHERE chan <> 'Y'",
     "coef_y": _dct("res_y", "video_id, f, bx, by, chan", 8),
@@ -104,8 +108,7 @@ CTES = {
     "sized": "SELECT video_id, f, CAST(sum(7 + size * size + 2 * (size // 2) * (size // 2)) + 1 AS BIGINT) AS bytes FROM vec GROUP BY ALL",
     "recs": """SELECT v.video_id, v.f, bx, by, printf('%04X%04X%02X%02X%02X', pos_x, pos_y, abs(span_x) + CASE WHEN span_x < 0 THEN 128 ELSE 0 END, abs(span_y) + CASE WHEN span_y < 0 THEN 128 ELSE 0 END, ref * 16 + 2) || h AS h
         FROM vec v JOIN (SELECT video_id, f, bx, by, string_agg(printf('%02X', (abs(level) & 127) + CASE WHEN level < 0 THEN 128 ELSE 0 END), '' ORDER BY chan <> 'Y', chan, v, u) AS h FROM levels GROUP BY ALL) USING (video_id, f, bx, by)""",
-    "rebuilt": """SELECT v.video_id, v.f, bx * 8 + d.x AS x, by * 8 + d.y AS y, CAST(l.ym + d.d AS BIGINT) AS ym FROM vec v JOIN resid d USING (video_id, f, bx, by)
-        JOIN luma l ON l.video_id = v.video_id AND l.f = ref_f AND l.x = pos_x + d.x AND l.y = pos_y + d.y WHERE chan = 'Y'""",
+    "rebuilt": "SELECT video_id, f, ax AS x, ay AS y, CAST(bm + d AS BIGINT) AS ym FROM pair_y",
     "fstat": "SELECT video_id, f, count(*) AS n_vectors, CAST(count(*) * 64 AS BIGINT) AS area, CAST(sum(cost) AS DOUBLE) / (count(*) * 256e6) AS mean_error FROM vec GROUP BY ALL",
 }
 

@@ -19,7 +19,7 @@ def scan_frames(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_pixels(frames: DataFrame) -> DataFrame:
-    """One row per pixel of image buffers with 3 (BGR) or 4 (ABGR) bytes a pixel."""
+    """One row per pixel of image buffers with 1 (grey), 3 (BGR) or 4 (BGRA) bytes a pixel; alpha is left out."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -27,7 +27,7 @@ def explode_pixels(frames: DataFrame) -> DataFrame:
 
         for batch in batches:
             for video, frame, w, h, c, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                flat = np.frombuffer(data, np.uint8).reshape(h * w, c)[:, -3:].astype(np.int32)
+                flat = np.frombuffer(data, np.uint8).reshape(h * w, c)[:, [0, 0, 0] if c == 1 else [0, 1, 2]].astype(np.int32)
                 n = np.arange(h * w, dtype=np.int32)
                 cols = [np.full(h * w, video, np.int64), np.full(h * w, frame, np.int32), n % w, n // w, flat[:, 2], flat[:, 1], flat[:, 0]]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["video_id", "f", "x", "y", "r", "g", "b"])

@@ -37,7 +37,7 @@ def rows(df, *keys):
     return sorted(map(tuple, df.select(*keys).collect()))
 
 
-@pytest.mark.parametrize("name", ["changed_blocks", "motion_search", "quadtree_leaves", "pack_parts", "deblock_columns", "frame_gaps"])
+@pytest.mark.parametrize("name", ["changed_blocks", "motion_search", "quadtree_leaves", "pack_parts", "unpack_parts", "encode_residuals", "reconstruct_one", "deblock_columns", "frame_gaps"])
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
     for t in ("supplier", "embeddings"):
@@ -129,6 +129,12 @@ def test_scan_bitmaps(spark, tmp_path):
     assert frames.read_table(spark, str(tmp_path / "out")).count() == 24
 
 
+@pytest.mark.parametrize(("channels", "data", "want"), [(1, [7, 9], [(7, 7, 7), (9, 9, 9)]), (3, [30, 20, 10, 3, 2, 1], [(10, 20, 30), (1, 2, 3)]), (4, [30, 20, 10, 200, 3, 2, 1, 0], [(10, 20, 30), (1, 2, 3)])])
+def test_pixels_of_grey_and_transparent_images(spark, channels, data, want):
+    image = spark.createDataFrame([(1, 0, 2, 1, channels, bytearray(data))], "video_id long, frame_no int, width int, height int, n_channels int, data binary")
+    assert rows(frames.explode_pixels(image), "x", "r", "g", "b") == [(x, *c) for x, c in enumerate(want)]
+
+
 def test_stream_equals_batch(spark, px, tmp_path):
     small = px.where("video_id = 1").cache()
     for f in range(6):
