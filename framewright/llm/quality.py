@@ -65,30 +65,44 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
     return w
 
 
+def _blocks(docs: DataFrame) -> DataFrame:
+    """(h, k, block) of whole texts from rows (h, text): blocks of BLOCK bytes, k being a block's number."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                parts = [raw[at : at + BLOCK] for at in range(0, len(raw), BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["h", "k", "block"])
+
+    return docs.select("h", "text").mapInArrow(run, "h long, k long, block binary")
+
+
 def fit(
-    docs: DataFrame, labels: DataFrame, most_per_label: int = 3000, most_bytes: int = 16_384, dictionary_bytes: int = 65_536, level: int = 3
+    docs: DataFrame, labels: DataFrame, most_per_label: int = 3000, most_blocks: int = 6000, dictionary_bytes: int = 65_536, level: int = 3
 ) -> QualityModel:
     """Fit on documents (doc_id, text) and labels (doc_id, quality).
 
-    At most ``most_per_label`` ids of each label, chosen by a hash, and
-    ``most_bytes`` of each text reach the driver for the dictionaries; the ids,
-    so bounded, are broadcast to the documents.  Even halves of them build the
-    dictionaries and odd halves the calibration, then the other way round.  The
-    calibration's features are those of the whole texts, taken on the executors.
+    At most ``most_per_label`` ids of each label, chosen by a hash, are broadcast
+    to the documents.  The dictionaries are built from at most ``most_blocks``
+    blocks of BLOCK bytes of each label's texts, chosen by a hash from all blocks
+    of the whole texts.  Even halves of the ids build the dictionaries and odd
+    halves the calibration, then the other way round.  The calibration's features
+    are those of the whole texts, taken on the executors.  Null and empty texts
+    have no blocks; rows that repeat an id are in one half; with one label only,
+    or none, every score is 0.5.
     """
     rows, parts = [], []
     hashed = F.xxhash64("doc_id")
     for label in (0, 1):
         ids = labels.where(F.col("quality") == label).select("doc_id").distinct().orderBy(hashed, "doc_id").limit(most_per_label)
-        part = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(
-            hashed.alias("h"), F.substring(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 1, most_bytes).alias("text")
-        )
-        found = sorted((r.h, bytes(r.text)) for r in part.collect())
-        rows += [(label, i % 2, text) for i, (_, text) in enumerate(found)]
-        halves: dict[int, int] = {}
-        for i, (h, _) in enumerate(found):
-            halves.setdefault(h, i % 2)
-        parts.append((label, docs.join(F.broadcast(ids), "doc_id", "left_semi").select(hashed.alias("h"), "text"), halves))
+        own = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(hashed.alias("h"), "text")
+        halves = {h: i % 2 for i, h in enumerate(sorted(r.h for r in ids.select(hashed.alias("h")).collect()))}
+        blocks = _blocks(own).orderBy(F.xxhash64("h", "k"), "h", "k").limit(most_blocks)
+        rows += [(label, halves[r.h], bytes(r.block)) for r in blocks.collect()]
+        parts.append((label, own, halves))
     if len({r[0] for r in rows}) < 2:
         return QualityModel(b".", b".", np.zeros(5), level)
     pairs = [tuple(_dictionary([t for q, i, t in rows if q == label and i == half], dictionary_bytes) for label in (1, 0)) for half in (0, 1)]
