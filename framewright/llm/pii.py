@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -92,10 +94,11 @@ def spans_of(text: str) -> tuple[list[tuple], list[tuple]]:
     rest += [(3, *m.span()) for m in _LOCAL_PHONE.finditer(text)]
     held = sorted((a, b) for _, a, b in base)
     starts = [a for a, _ in held]
+    reach = list(accumulate((b for _, b in held), max))  # the furthest end of all spans up to one
 
     def free(a: int, b: int) -> bool:
-        i = int(np.searchsorted(starts, b))
-        return not any(y > a for _, y in held[max(0, i - 4) : i])
+        i = bisect_left(starts, b)
+        return not i or reach[i - 1] <= a
 
     return base, [c for c in rest if free(c[1], c[2])]
 

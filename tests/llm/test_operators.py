@@ -210,6 +210,13 @@ def test_base_spans_follow_the_patterns():
         assert sorted(pii.spans_of(text)[0]) == sorted(want)
 
 
+def test_candidates_inside_long_base_spans_are_not_free():
+    text = "a@b.c.1.2.3.4.x5.6.7.8.y1.1.1.1.z2.2.2.2.w3.3.3.3.q4111111111111112 end"
+    base, rest = pii.spans_of(text)
+    assert len(base) > 5 and not any(k == 2 for k, _, _ in rest)
+    assert pii.spans_of("mail a@b.cd then 4111111111111112")[1] == [(2, 17, 33)]
+
+
 def test_pii_table(spark, edge):
     got = {r.doc_id: r for r in pii.find_pii(docs_of(spark, enumerate([*TEXTS, None]))).collect()}
     assert got[3].n_phone == 1 and got[3].spans == "phone:5:22" and got[6].spans == ""
