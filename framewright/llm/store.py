@@ -53,7 +53,7 @@ def cut(df: DataFrame, rows: int | None = None, deal: bool = False, tables: list
         files = max(1, -(-int(rows) // FILE_ROWS))
         df = df.repartition(files) if deal else df.coalesce(files)
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     remove(spark, path, later=True)
     if tables is not None:
         tables.append((spark, path))
