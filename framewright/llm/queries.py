@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, flac, language, line_dedup, mixing, ngram_join, packing, pii, quality, sharding
+from . import cutting_stock, exact_dedup, flac, language, line_dedup, mixing, ngram_join, packing, phrases, pii, quality, sharding, spelling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting_stock.pack_cutting(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,6 +104,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_spelling": op11_spelling,
+    "op12_phrases": op12_phrases,
+    "op13_cutting_stock": op13_cutting_stock,
     "pages_language": pages_language,
     "pipeline": pipeline,
 }
@@ -102,4 +117,23 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM n""",
+    # each frequent word, pair and triple from positions inside pieces
+    "op12_phrases": r"""
+        WITH pieces AS (SELECT row_number() OVER () AS piece, lang, p FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+        lists AS (SELECT lang, piece, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+        w AS (SELECT lang, piece, generate_subscripts(ws, 1) AS i, unnest(ws) AS w1 FROM lists),
+        t AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY piece ORDER BY i)),
+        f1 AS (SELECT lang, w1, count(*) AS a FROM t GROUP BY ALL HAVING count(*) >= 10),
+        f2 AS (SELECT lang, w1, w2, count(*) AS a FROM t WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        f3 AS (SELECT lang, w1, w2, w3, count(*) AS a FROM t WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        totals AS (SELECT lang, count(*) AS n FROM t GROUP BY lang),
+        cuts AS (SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, p.a, 1 AS k, x.a AS l, y.a AS r FROM f2 p JOIN f1 x ON x.lang = p.lang AND x.w1 = p.w1 JOIN f1 y ON y.lang = p.lang AND y.w1 = p.w2
+            UNION ALL SELECT p.lang, p.w1 || ' ' || p.w2 || ' ' || p.w3, p.a, 1, x.a, y.a FROM f3 p JOIN f1 x ON x.lang = p.lang AND x.w1 = p.w1 JOIN f2 y ON y.lang = p.lang AND y.w1 = p.w2 AND y.w2 = p.w3
+            UNION ALL SELECT p.lang, p.w1 || ' ' || p.w2 || ' ' || p.w3, p.a, 2, x.a, y.a FROM f3 p JOIN f2 x ON x.lang = p.lang AND x.w1 = p.w1 AND x.w2 = p.w2 JOIN f1 y ON y.lang = p.lang AND y.w1 = p.w3),
+        scored AS (SELECT lang, phrase, a, l, r, CAST(CAST(a AS HUGEINT) * a * 1000000 // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score, k FROM cuts),
+        worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS m FROM scored) WHERE m = 1),
+        longer AS (SELECT lang, phrase, max(a) AS top FROM (SELECT lang, w1 || ' ' || w2 AS phrase, a FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, a FROM f3) GROUP BY ALL),
+        left_over AS (SELECT w.* FROM worst w LEFT JOIN longer USING (lang, phrase) WHERE top IS NULL OR 100 * top < 50 * a),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN totals USING (lang) WHERE rank <= 2000""",
 }
