@@ -30,8 +30,8 @@ PRIMES, BASES = (2_147_483_647, 2_147_483_629), (1_000_003, 998_244_353)
 MOST_BITS = 1 << 28
 BLOOM_HASHES = 4
 #: Runs of words that a task gathers before it adds equal ones up.
-GATHERED = 3_000_000
-_FOUND = "fp long, n long, low int, high int, place long"
+GATHERED = 1_500_000
+_FOUND = "fp long, n long, check int, place int"
 
 
 def _powers(base: int, prime: int, n: int):
@@ -113,9 +113,9 @@ def all_words(lang):
 
 
 def prepared(docs: DataFrame, text_col: str, lang_col: str, id_col: str) -> DataFrame:
-    """(lang, lang_key, place, text): ``place`` is the same for equal rows only."""
+    """(lang, lang_key, place, text); the few rows that share a ``place`` are all looked at."""
     lang, text = F.coalesce(F.col(lang_col), F.lit("und")), F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(lang.alias("lang"), F.xxhash64(lang, F.lit("lang")).alias("lang_key"), F.xxhash64(F.col(id_col), text, lang).alias("place"), text.alias("text"))
+    return docs.select(lang.alias("lang"), F.xxhash64(lang, F.lit("lang")).alias("lang_key"), F.hash(F.col(id_col), text, lang).alias("place"), text.alias("text"))
 
 
 def _slices(batch, lang: int, text: int):
@@ -127,16 +127,23 @@ def _slices(batch, lang: int, text: int):
 
 
 def _added_up(parts: list):
-    """Equal fingerprints as one row: (fp, n, low, high, place)."""
+    """Rows of equal fingerprint and checksum as one: (fp, n, check, place); ``parts`` is emptied."""
     import numpy as np
 
-    fp, n, check, place = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.argsort(fp, kind="stable")
-    fp, n, check, place = fp[order], n[order], check[order], place[order]
-    first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]])) if len(fp) else np.zeros(0, np.int64)
+    cols = [np.concatenate([p[i] for p in parts]) for i in range(4)]
+    parts.clear()
+    order = np.argsort(cols[0], kind="stable")
+    cols = [c[order] for c in cols]
+    same = cols[0][1:] == cols[0][:-1]
+    if (same & (cols[2][1:] != cols[2][:-1])).any():  # different phrases share a fingerprint
+        order = np.lexsort((cols[2], cols[0]))
+        cols = [c[order] for c in cols]
+        same = (cols[0][1:] == cols[0][:-1]) & (cols[2][1:] == cols[2][:-1])
+    fp, n, check, place = cols
     if not len(fp):
-        return fp, n, check, check, place
-    return fp[first], np.add.reduceat(n, first), np.minimum.reduceat(check, first), np.maximum.reduceat(check, first), np.minimum.reduceat(place, first)
+        return cols
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    return fp[first], np.add.reduceat(n, first), check[first], np.minimum.reduceat(place, first)
 
 
 def counted(docs: DataFrame, sizes: tuple[int, ...], bloom, primes: tuple[int, int]) -> DataFrame:
@@ -150,12 +157,10 @@ def counted(docs: DataFrame, sizes: tuple[int, ...], bloom, primes: tuple[int, i
         held = 0
 
         def flush():
-            cols = _added_up(parts)
-            parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["fp", "n", "low", "high", "place"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in _added_up(parts)], ["fp", "n", "check", "place"])
 
         for batch in batches:
-            where = np.array(batch.column(1).to_pylist(), np.int64)
+            where = batch.column(1).to_numpy()
             for a, b, texts, langs in _slices(batch, 0, 2):
                 runs = Runs(texts, langs, primes)
                 if bloom is None:
@@ -178,7 +183,7 @@ def counted(docs: DataFrame, sizes: tuple[int, ...], bloom, primes: tuple[int, i
             yield flush()
 
     found = docs.select("lang_key", "place", "text").mapInArrow(run, _FOUND)
-    return found.groupBy("fp").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("place").alias("place"))
+    return found.groupBy("fp").agg(F.sum("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.min("place").alias("place"))
 
 
 def _bits(fp, size: int):
@@ -265,7 +270,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, longest: int, primes: tuple[int
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.int32())], ["fp", "lang", "phrase", "k"])
 
     found = docs.join(lists, "place").select("text", "lang_key", "lang", "fps").mapInArrow(run, _TEXTS)
-    return found.dropDuplicates(["fp"])  # copies of a row have the same place
+    return found.dropDuplicates(["fp"])  # copies of a row share a place
 
 
 def recounted(docs: DataFrame, shared: DataFrame, bloom, longest: int, primes: tuple[int, int]) -> DataFrame:
