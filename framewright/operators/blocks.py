@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.frames import frame_index
+from . import tiles
 
 CELL = ("video_id", "f")
 
@@ -41,58 +42,16 @@ def block_stddev(pixels: DataFrame, size: int) -> DataFrame:
 def quadtree(pixels: DataFrame, root: int = 32, threshold: int = 45, least: int = 4) -> DataFrame:
     """Leaves (video_id, f, x, y, size, r, g, b) of the adaptive partition.
 
-    Each level marks the blocks to split (spread above the threshold or leaving
-    the frame); a cell's leaf is its first ancestor from the top that isn't.
+    A tile is a root: sums of its cells are added up level by level inside the
+    row, and a cell's leaf is its first ancestor from the top that isn't split.
     """
-    cells = cell_means(pixels)
-    ends = pixels.groupBy("video_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    todo, leaves, size = None, None, root
-    while True:
-        stats = block_variance(pixels, cells, size).join(ends, "video_id")
-        if todo is not None:
-            stats = stats.join(todo, [*CELL, "bx", "by"], "left_semi")
-        out = F.expr(f"(bx + 1) * {size} > w OR (by + 1) * {size} > h")
-        split = (F.col("dev2") > threshold * threshold * F.col("n")) | out if size > least else F.lit(False)
-        stats = stats.withColumn("split", split)
-        leaf = stats.where(~F.col("split")).select(*CELL, (F.col("bx") * size).alias("x"), (F.col("by") * size).alias("y"), "size", "r", "g", "b")
-        leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        if size == least:
-            return leaves
-        four = F.explode(F.expr("array(struct(0 AS i, 0 AS j), struct(0 AS i, 1 AS j), struct(1 AS i, 0 AS j), struct(1 AS i, 1 AS j))"))
-        todo = stats.where("split").select(*CELL, "bx", "by", four.alias("q")).selectExpr(*CELL, "bx * 2 + q.i AS bx", "by * 2 + q.j AS by")
-        size //= 2
-
-
-def mosaic(pixels: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Every pixel with its leaf's mean colour; one equi-join per leaf size."""
-    sizes = F.explode(F.array(*[F.lit(s) for s in (4, 8, 16, 32, 64, 128)])).alias("size")
-    keyed = pixels.select(*CELL, F.col("x").alias("px"), F.col("y").alias("py"), sizes)
-    keyed = keyed.withColumns({"x": F.expr("CAST(px - px % size AS INT)"), "y": F.expr("CAST(py - py % size AS INT)")})
-    return keyed.join(leaves, [*CELL, "x", "y", "size"]).select(*CELL, F.col("px").alias("x"), F.col("py").alias("y"), "r", "g", "b")
-
-
-def block_change(luma: DataFrame, chroma: DataFrame, size: int = 8) -> DataFrame:
-    """Squared differences of every block to the previous frame: sy, su, sv and counts, whole numbers."""
-    index = frame_index(luma).where("prev_f IS NOT NULL").select("video_id", "f", "prev_f")
-
-    def diff(plane: DataFrame, xy: tuple[str, str], values: list[str], step: int) -> DataFrame:
-        before = plane.select("video_id", F.col("f").alias("prev_f"), *xy, *[F.col(v).alias(f"{v}0") for v in values])
-        both = plane.join(index, [*CELL]).join(before, ["video_id", "prev_f", *xy])
-        keys = [F.expr(f"CAST({c} div {step} AS INT) AS b{c[-1]}") for c in xy]
-        return both.groupBy(*CELL, *keys).agg(*[F.expr(f"CAST(sum(({v} - {v}0) * ({v} - {v}0)) AS BIGINT) AS s{v[0]}") for v in values], F.count("*").alias("n" + values[0][0]))
-
-    y = diff(luma, ("x", "y"), ["ym"], size)
-    c = diff(chroma, ("cx", "cy"), ["um", "vm"], size // 2)
-    return y.join(c, [*CELL, "bx", "by"])
-
-
-def is_changed():
-    """Mean squares above 1.55 for luma or 3.6 for chroma; values are thousandths."""
-    return F.expr("sy > 1550000 * ny OR su > 3600000 * nu OR sv > 3600000 * nu")
+    found = tiles.with_leaves(tiles.frame_tiles(pixels, root), root, threshold, least)
+    return found.select("video_id", "f", F.inline_outer("leaves"))  # never empty
 
 
-def changed_blocks(luma: DataFrame, chroma: DataFrame, size: int = 8) -> DataFrame:
-    return block_change(luma, chroma, size).where(is_changed()).select(*CELL, "bx", "by")
+def mosaic(pixels: DataFrame, root: int = 32, threshold: int = 45, least: int = 4) -> DataFrame:
+    """Every pixel with its leaf's mean colour."""
+    return tiles.leaf_pixels(tiles.with_leaves(tiles.frame_tiles(pixels, root), root, threshold, least), root)
 
 
 def frame_delta(luma: DataFrame) -> DataFrame:
@@ -110,10 +69,10 @@ def tile_blocks(luma: DataFrame, size: int, width: int, height: int) -> DataFram
     return got.select(*CELL, "bx", "by", plane.alias("plane"), (size * size - F.col("n")).cast("int").alias("oob_count"))
 
 
-def split_subtiles(tiles: DataFrame, size: int) -> DataFrame:
+def split_subtiles(samples: DataFrame, size: int) -> DataFrame:
     """Sub-tile number (columns first) and place inside it."""
     n = 8 // size
-    return tiles.selectExpr("tile", f"CAST((x div {size}) * {n} + y div {size} AS INT) AS sub", f"x % {size} AS x", f"y % {size} AS y", "val")
+    return samples.selectExpr("tile", f"CAST((x div {size}) * {n} + y div {size} AS INT) AS sub", f"x % {size} AS x", f"y % {size} AS y", "val")
 
 
 def merge_subtiles(subtiles: DataFrame, size: int) -> DataFrame:

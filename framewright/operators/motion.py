@@ -1,117 +1,143 @@
 """Best-match block search over recent reference frames.
 
-Blocks are the changed 8x8 blocks; candidates come from exploding reference ages
-and offsets, and pixels are equi-joined on shifted places, never by ranges.
+Blocks may have any size of the adaptive partition.  Places to try are arrays of
+offsets of a block and a reference; costs are computed where the block's pixels
+meet the reference's tile (``tiles.offset_costs``), so only tiles are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.frames import frame_index
+from . import tiles as arrays
+from .tiles import LEAF
 
-BLOCK = ("video_id", "f", "bx", "by")
-CANDIDATE = (*BLOCK, "ref_f", "dx", "dy")
+PLACE = (*LEAF, "ref_f")
+CANDIDATE = (*PLACE, "dx", "dy")
+#: The largest block, and so the width of the strips that tiles get from their neighbours.
+MOST = 32
 
 
-def reference_pairs(frames: DataFrame, max_refs: int = 4) -> DataFrame:
+def reference_pairs(frames: DataFrame, max_refs: int = 4, index: DataFrame | None = None) -> DataFrame:
     """(video_id, f, ref_f, ref): up to four earlier frames; ref counts list places from the oldest down from 4."""
-    index = frame_index(frames).select("video_id", "f", "n")
+    index = (frame_index(frames) if index is None else index).select("video_id", "f", "n")
     ages = index.withColumn("age", F.explode(F.sequence(F.lit(1), F.lit(max_refs)))).withColumn("m", F.col("n") - F.col("age"))
     earlier = index.select("video_id", F.col("f").alias("ref_f"), F.col("n").alias("m"))
     ref = F.lit(4) - (F.col("m") - F.greatest(F.lit(0), F.col("n") - max_refs))
     return ages.join(earlier, ["video_id", "m"]).select("video_id", "f", "ref_f", ref.cast("int").alias("ref"))
 
 
-def candidates(blocks: DataFrame, refs: DataFrame, ends: DataFrame, lo: int = -2, hi: int = 1, size: int = 8) -> DataFrame:
-    """In-frame candidate places of every block, reference and offset."""
-    offsets = [F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias(c) for c in ("dx", "dy")]
-    rows = blocks.join(refs, ["video_id", "f"]).join(ends, "video_id").select("*", offsets[0]).select("*", offsets[1])
-    return rows.where(_inside(size)).select(*CANDIDATE)
+def candidates(blocks: DataFrame, refs: DataFrame, ends: DataFrame, lo: int = -2, hi: int = 1) -> DataFrame:
+    """In-frame candidate places of every block (video_id, f, x, y, size), reference and offset."""
+    rows = blocks.join(refs.drop("ref"), ["video_id", "f"]).join(ends, "video_id").select("*", F.inline_outer(arrays.window_offsets(lo, hi)))
+    return rows.where(_inside()).select(*CANDIDATE)
 
 
-def _inside(size: int) -> str:
+def _inside() -> str:
     """A block that leaves the frame has only its pixels inside it to match."""
-    return " AND ".join(f"b{c} * {size} + d{c} >= 0 AND b{c} * {size} + d{c} + least({size}, {e} - b{c} * {size}) <= {e}" for c, e in (("x", "w"), ("y", "h")))
-
+    return " AND ".join(f"{c} + d{c} >= 0 AND {c} + d{c} + least(size, {e} - {c}) <= {e}" for c, e in (("x", "w"), ("y", "h")))
 
-def frame_ends(luma: DataFrame) -> DataFrame:
-    return luma.groupBy("video_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
 
+def frame_ends(tiles: DataFrame, size: int = 32) -> DataFrame:
+    """Width and height of each video's frames from its tiles."""
+    wide = lambda c, first, step: F.max(F.expr(f"t{c} * {size} + size(filter(transform(sequence(0, {size - 1}), k -> ym[k * {step}]), p -> p IS NOT NULL))"))
+    return tiles.groupBy("video_id").agg(wide("x", 0, 1).alias("w"), wide("y", 0, size).alias("h"))
 
-def _plane_cost(found: DataFrame, plane: DataFrame, xy: tuple[str, str], values: list[str], step: int, size: int) -> DataFrame:
-    """Squared differences of candidates in one plane; only blocks with candidates are unfolded."""
-    x, y = xy
-    half = size // step
-    at = lambda b, d, c: F.expr(f"CAST(floor(({b} * {size} + {d}) / {float(step)}) AS INT) + {c} - {b} * {half}")
-    own = plane.withColumns({"bx": F.expr(f"CAST({x} div {half} AS INT)"), "by": F.expr(f"CAST({y} div {half} AS INT)")})
-    both = found.join(own, [*BLOCK]).withColumns({"_x": at("bx", "dx", x), "_y": at("by", "dy", y)}).drop(x, y)
-    there = plane.select("video_id", F.col("f").alias("ref_f"), F.col(x).alias("_x"), F.col(y).alias("_y"), *[F.col(v).alias(f"{v}0") for v in values])
-    sums = [F.expr(f"CAST(sum(({v} - {v}0) * ({v} - {v}0)) AS BIGINT) * {half * half} div count(*) AS s{v[0]}") for v in values]
-    return both.join(there, ["video_id", "ref_f", "_x", "_y"]).groupBy(*CANDIDATE).agg(*sums)
 
-
-def match_cost(found: DataFrame, luma: DataFrame, chroma: DataFrame, size: int = 8) -> DataFrame:
-    """Cost of every candidate: sy + 4 su + 4 sv, i.e. the summed mean squares times 64 * 10^6; sums over part of a block count as for the whole."""
-    y = _plane_cost(found, luma, ("x", "y"), ["ym"], 1, size)
-    c = _plane_cost(found, chroma, ("cx", "cy"), ["um", "vm"], 2, size)
-    return y.join(c, list(CANDIDATE)).select(*CANDIDATE, F.expr("sy + 4 * su + 4 * sv AS cost"))
+def match_cost(blocks: DataFrame, refs: DataFrame, tiles: DataFrame, lo: int = -2, hi: int = 1, most: int = MOST, size: int = 32) -> DataFrame:
+    """Cost of every in-frame place of a window around each block: (video_id, f, x, y, size, ref_f, dx, dy, cost)."""
+    asked = arrays.block_arrays(blocks, tiles, size).join(refs.drop("ref"), ["video_id", "f"]).withColumn("offsets", arrays.window_offsets(lo, hi))
+    return arrays.offset_costs(asked, arrays.reference_tiles(tiles, most, size), most, size)
 
 
 def best_match(costs: DataFrame) -> DataFrame:
     """The cheapest candidate; ties go to the older reference, then smaller dy, then dx."""
-    best = costs.groupBy(*BLOCK).agg(F.min(F.struct("cost", "ref_f", "dy", "dx")).alias("m"))
-    return best.select(*BLOCK, "m.ref_f", "m.dx", "m.dy", "m.cost")
+    best = costs.groupBy(*LEAF).agg(F.min(F.struct("cost", "ref_f", "dy", "dx")).alias("m"))
+    return best.select(*LEAF, "m.ref_f", "m.dx", "m.dy", "m.cost")
 
 
 def top_k_matches(costs: DataFrame, k: int = 3) -> DataFrame:
-    w = Window.partitionBy(*BLOCK).orderBy("cost", "ref_f", "dy", "dx")
+    w = Window.partitionBy(*LEAF).orderBy("cost", "ref_f", "dy", "dx")
     return costs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def motion_search(blocks: DataFrame, luma: DataFrame, chroma: DataFrame, lo: int = -2, hi: int = 1, max_refs: int = 4) -> DataFrame:
-    """Vectors: place in the reference, span to the target, reference number, cost."""
-    refs = reference_pairs(luma, max_refs)
-    found = best_match(match_cost(candidates(blocks, refs, frame_ends(luma), lo, hi), luma, chroma))
+def as_vectors(found: DataFrame, refs: DataFrame) -> DataFrame:
+    """Best matches as vectors: place in the reference, span to the target, reference number, cost."""
     return found.join(refs, ["video_id", "f", "ref_f"]).selectExpr(
-        "video_id", "f", "ref_f", "ref", "bx * 8 + dx AS pos_x", "by * 8 + dy AS pos_y", "-dx AS span_x", "-dy AS span_y", "8 AS size", "cost"
+        "video_id", "f", "ref_f", "ref", "x + dx AS pos_x", "y + dy AS pos_y", "-dx AS span_x", "-dy AS span_y", "size", "cost"
     )
 
 
-def pattern_search(blocks: DataFrame, luma: DataFrame, chroma: DataFrame, cut, window: int = 48, most_rounds: int = 24) -> DataFrame:
-    """Rounds of a hexagon of radius 4, then 2, then all eight neighbours, around each block's best so far.
+def motion_search(blocks: DataFrame, tiles: DataFrame, lo: int = -2, hi: int = 1, max_refs: int = 4, most: int = MOST, size: int = 32) -> DataFrame:
+    """Vectors of the cheapest places of a window around each block."""
+    refs = reference_pairs(tiles, max_refs)
+    return as_vectors(best_match(match_cost(blocks, refs, tiles, lo, hi, most, size)), refs)
+
+
+# Hexagons of radius 4 and 2, neighbours at radius 1.
+RINGS = {
+    4: ((0, 0), (2, 3), (-2, 3), (-4, 0), (-2, -4), (2, -4), (4, 0)),
+    2: ((0, 0), (1, 1), (-1, 1), (-2, 0), (-1, -2), (1, -2), (2, 0)),
+    1: ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (-1, 1), (1, -1)),
+}
+
+
+def pattern_search(blocks: DataFrame, tiles: DataFrame, cut: Callable[[DataFrame], DataFrame], window: int = 48, max_refs: int = 4, most: int = MOST, size: int = 32, refs: DataFrame | None = None) -> DataFrame:
+    """The cheapest place of each block and reference by a frontier of hexagons: (video_id, f, x, y, size, ref_f, dx, dy, cost).
 
-    ``cut`` materialises a table in shared storage; a row is active while its
-    last round moved it or its radius can still shrink.
+    A row of the frontier is a block and a reference with its best place so
+    far.  A round tries the ring around that place, leaving out what the row
+    has visited.  A strictly cheaper place becomes the new centre; else the
+    radius is halved; the round of radius 1 is a row's last.  Rounds go on until
+    no row is active; as a row's cost falls with every move, that is reached.
+    ``cut`` writes a round's frontier to shared storage.
     """
-    # Hexagons of radius 4 and 2, neighbours at radius 1.
-    rings = {
-        4: ((0, 0), (2, 3), (-2, 3), (-4, 0), (-2, -4), (2, -4), (4, 0)),
-        2: ((0, 0), (1, 1), (-1, 1), (-2, 0), (-1, -2), (1, -2), (2, 0)),
-        1: tuple((i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)),
-    }
-    ends, refs = frame_ends(luma), reference_pairs(luma)
-    state = blocks.join(refs.drop("ref"), ["video_id", "f"]).selectExpr("*", "0 AS cx", "0 AS cy", "4 AS radius", "CAST(NULL AS BIGINT) AS cost")
-    state, done = cut(state), None
-    for _ in range(most_rounds):
-        ring = F.coalesce(*[F.when(F.col("radius") == r, F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ring])) for r, ring in rings.items()])
-        moves = state.select(*BLOCK, "ref_f", "cx", "cy", F.explode(ring).alias("o")).selectExpr(*BLOCK, "ref_f", "cx + o.i AS dx", "cy + o.j AS dy")
-        moves = moves.where(f"abs(dx) <= {window} AND abs(dy) <= {window}").join(ends, "video_id")
-        moves = moves.where(_inside(8)).select(*CANDIDATE)
-        best = match_cost(moves, luma, chroma).groupBy(*BLOCK, "ref_f").agg(F.min(F.struct("cost", "dy", "dx")).alias("m"))
-        stepped = state.join(best, [*BLOCK, "ref_f"])
-        still = F.expr("m.dx = cx AND m.dy = cy")
-        state = cut(stepped.select(*BLOCK, "ref_f", F.col("m.dx").alias("cx"), F.col("m.dy").alias("cy"), F.when(still, F.expr("CAST(radius div 2 AS INT)")).otherwise(F.col("radius")).alias("radius"), F.col("m.cost").alias("cost")))
-        ended = state.where("radius = 0")
-        done = ended if done is None else done.unionByName(ended)
-        state = state.where("radius > 0")
-        if not state.head(1):
-            break
-    found = done.unionByName(state).select(*BLOCK, "ref_f", F.col("cx").alias("dx"), F.col("cy").alias("dy"), "cost")
-    return best_match(found)
+    own, near = cut(arrays.block_arrays(blocks, tiles, size)), cut(arrays.reference_tiles(tiles, most, size))
+    empty = F.expr("CAST(array() AS ARRAY<STRUCT<dx: INT, dy: INT>>)").alias("visited")
+    refs = reference_pairs(tiles, max_refs) if refs is None else refs
+    state = own.select(*LEAF).join(refs.drop("ref"), ["video_id", "f"])
+    state = cut(state.selectExpr(*PLACE, "0 AS dx", "0 AS dy", "4 AS radius", "CAST(NULL AS BIGINT) AS cost").select("*", empty))
+    ended = []
+    rings = F.coalesce(*[F.when(F.col("radius") == r, F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ring])) for r, ring in RINGS.items()])
+    while state.head(1):
+        asked = state.withColumn("ring", rings).withColumn("offsets", F.expr("transform(ring, o -> named_struct('dx', dx + o.i, 'dy', dy + o.j))"))
+        asked = asked.withColumn("offsets", F.expr(f"array_except(filter(offsets, o -> abs(o.dx) <= {window} AND abs(o.dy) <= {window}), visited)"))
+        tried = arrays.offset_costs(own.join(asked.select(*PLACE, "offsets"), list(LEAF)), near, most, size)
+        best = tried.groupBy(*PLACE).agg(F.min(F.struct("cost", "dy", "dx")).alias("m"))
+        both = asked.join(best, list(PLACE), "left").withColumn("better", F.expr("m IS NOT NULL AND (cost IS NULL OR m.cost < cost)"))
+        radius = F.expr("CASE WHEN radius > 1 AND better AND (m.dx <> dx OR m.dy <> dy) THEN radius ELSE radius div 2 END").cast("int")
+        moved = cut(
+            both.select(
+                *PLACE,
+                *[F.expr(f"CASE WHEN better THEN m.{c} ELSE {c} END AS {c}") for c in ("dx", "dy")],
+                radius.alias("radius"),
+                F.expr("CASE WHEN better THEN m.cost ELSE cost END AS cost"),
+                F.concat("visited", "offsets").alias("visited"),
+            )
+        )
+        ended.append(moved.where("radius = 0"))
+        state = moved.where("radius > 0")
+    done = ended[0] if ended else state
+    for more in ended[1:]:
+        done = done.unionByName(more)
+    return done.where("cost IS NOT NULL").select(*CANDIDATE, "cost")
+
+
+def combined_search(blocks: DataFrame, tiles: DataFrame, cut: Callable[[DataFrame], DataFrame], window: int = 48, lo: int = -2, hi: int = 1, max_refs: int = 4, most: int = MOST, size: int = 32) -> DataFrame:
+    """Vectors by the hexagon frontier, then by all places of a small window around the block; the cheaper one is taken."""
+    refs = reference_pairs(tiles, max_refs)
+    found = pattern_search(blocks, tiles, cut, window, max_refs, most, size).unionByName(match_cost(blocks, refs, tiles, lo, hi, most, size))
+    return as_vectors(best_match(found), refs)
+
+
+def targets(vectors: DataFrame) -> DataFrame:
+    """Vectors with the place of their block."""
+    return vectors.withColumns({"x": F.col("pos_x") + F.col("span_x"), "y": F.col("pos_y") + F.col("span_y")})
 
 
 def uncoded_blocks(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
-    coded = vectors.selectExpr("video_id", "f", "CAST((pos_x + span_x) div 8 AS INT) AS bx", "CAST((pos_y + span_y) div 8 AS INT) AS by")
-    return blocks.join(coded, list(BLOCK), "left_anti")
+    return blocks.join(targets(vectors).select(*LEAF), list(LEAF), "left_anti")

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp
+from . import tiles
+from .motion import targets
+from .tiles import LEAF
 
 PIXEL = ("video_id", "f", "x", "y")
 
@@ -24,14 +27,26 @@ def patch_union(blocks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def reconstruct(vectors: DataFrame, luma: DataFrame, residual: DataFrame) -> DataFrame:
     """Target pixels: matched reference plus residual, in thousandths."""
-    v = vectors.selectExpr("video_id", "f", "ref_f", "CAST((pos_x + span_x) div 8 AS INT) AS bx", "CAST((pos_y + span_y) div 8 AS INT) AS by", "pos_x", "pos_y")
     d = residual.where("chan = 'Y'").drop("chan")
-    rows = v.join(d, ["video_id", "f", "bx", "by"]).selectExpr("video_id", "f", "ref_f", "bx * 8 + x AS tx", "by * 8 + y AS ty", "pos_x + x AS x", "pos_y + y AS y", "d")
+    v = targets(vectors).select(*LEAF, "ref_f", "pos_x", "pos_y")
+    rows = v.join(d, list(LEAF)).selectExpr("video_id", "f", "ref_f", "x + i AS tx", "y + j AS ty", "pos_x + i AS x", "pos_y + j AS y", "d")
     ref = luma.select("video_id", F.col("f").alias("ref_f"), "x", "y", "ym")
     rows = rows.join(ref, ["video_id", "ref_f", "x", "y"])
     return rows.selectExpr("video_id", "f", "tx AS x", "ty AS y", "ym + d AS ym")
 
 
+def rebuilt_blocks(residual: DataFrame, store: DataFrame, most: int = 32, size: int = 32) -> DataFrame:
+    """Blocks (LEAF, yb, ub, vb): the matched pixels of earlier rebuilt frames plus the differences."""
+    at = {"rx": F.expr(f"CAST(pos_x div {size} AS INT)"), "ry": F.expr(f"CAST(pos_y div {size} AS INT)")}
+    both = targets(residual).withColumns(at).join(tiles.reference_tiles(store, most, size), ["video_id", "ref_f", "rx", "ry"])
+
+    def plus(d: str, there: str, n: int) -> str:
+        match = tiles._cut_out(there, (size + most) // n, f"((pos_x - rx * {size}) div {n})", f"((pos_y - ry * {size}) div {n})", f"(size div {n})")
+        return f"zip_with({match}, {d}, (p, d) -> p + d)"
+
+    return both.select(*LEAF, *[F.expr(plus(d, p, n)).alias(b) for d, p, b, n in (("dy", "yr", "yb", 1), ("du", "ur", "ub", 2), ("dv", "vr", "vb", 2))])
+
+
 def reconstruct_step(luma: DataFrame, vectors: DataFrame, residual: DataFrame, index: DataFrame) -> DataFrame:
     """One step of decoding for all frames at once: the previous frame with this frame's patch."""
     before = luma.select("video_id", F.col("f").alias("prev_f"), "x", "y", "ym")

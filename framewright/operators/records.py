@@ -2,42 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 
 
-def pack_parts(vectors: DataFrame, levels: DataFrame) -> DataFrame:
-    """(video_id, f, payload, offsets): 0x01, then per vector a 7-byte header and all Y, U, V levels, columns of blocks first."""
-    keys = ["video_id", "f", "bx", "by"]
-    order = F.expr("CASE chan WHEN 'Y' THEN 0 WHEN 'U' THEN 1 ELSE 2 END")
-    byte = fn.big_endian(fn.signmag7(F.col("level")), 1)
-    body = levels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "v", "u", byte.alias("h")))).alias("l"))
-    v = vectors.withColumns({"bx": F.expr("CAST((pos_x + span_x) div 8 AS INT)"), "by": F.expr("CAST((pos_y + span_y) div 8 AS INT)")})
+HEADER = 7
+
+
+def pack_parts(coded: DataFrame) -> DataFrame:
+    """(video_id, f, payload): 0x01, then per block a 7-byte header and its Y, U and V levels; blocks by columns.
+
+    ``coded`` has vectors with levels (``transform.code_blocks``), of any sizes.
+    """
+    levels = F.transform(F.concat("ly", "lu", "lv"), lambda v: F.lpad(F.hex(fn.signmag7(v)), 2, "0"))
     head = F.concat(
         fn.big_endian(F.col("pos_x"), 2), fn.big_endian(F.col("pos_y"), 2), fn.big_endian(fn.signmag7(F.col("span_x")), 1),
         fn.big_endian(fn.signmag7(F.col("span_y")), 1), fn.big_endian(fn.refsize(F.col("ref"), F.col("size")), 1),
     )
-    rows = v.join(body, keys).select(*keys, F.concat(head, F.array_join("l.h", "")).alias("h"))
-    parts = rows.groupBy("video_id", "f").agg(F.array_sort(F.collect_list(F.struct("bx", "by", "h"))).alias("r"))
-    starts = F.expr("transform(slice(transform(r, (x, i) -> i), 1, size(r)), i -> 1 + CAST(aggregate(slice(r, 1, i), 0L, (s, x) -> s + length(x.h) div 2) AS INT))")
-    return parts.select("video_id", "f", F.unhex(F.concat(F.lit("01"), F.array_join("r.h", ""))).alias("payload"), starts.alias("offsets"))
+    rows = coded.select("video_id", "f", "x", "y", F.concat(head, F.array_join(levels, "")).alias("h"))
+    parts = rows.groupBy("video_id", "f").agg(F.array_sort(F.collect_list(F.struct("x", "y", "h"))).alias("r"))
+    return parts.select("video_id", "f", F.unhex(F.concat(F.lit("01"), F.array_join("r.h", ""))).alias("payload"))
+
+
+def record_bytes(parts: DataFrame) -> DataFrame:
+    """(video_id, f, no, record): payloads cut into their records.
 
+    A record's length follows from its seventh byte, so a cursor goes from one
+    to the next; the lengths of all places are computed first, at once.  Bytes
+    that don't make a whole record raise an error.
+    """
 
-def unpack_parts(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vectors, levels) from payloads with record offsets (8x8 blocks)."""
-    rec = parts.select("video_id", "f", F.explode(F.expr("transform(offsets, o -> hex(substring(payload, o + 1, 7 + 96)))")).alias("h"))
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        size = np.zeros(16, np.int64)
+        for pixels, code in fn.SIZE_CODES.items():
+            size[code] = pixels
+        for batch in batches:
+            rows: list[list] = [[], [], [], []]
+            for video, frame, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                payload = payload or b"\x01"
+                side = size[np.frombuffer(payload, np.uint8) & 15]
+                length, at, no = np.where(side > 0, HEADER + side * side * 3 // 2, 0), 1, 0
+                while at < len(payload):
+                    n = int(length[at + 6]) if at + 6 < len(payload) else 0
+                    if not n or at + n > len(payload):
+                        raise ValueError(f"video {video}, frame {frame}: no record at byte {at}")
+                    for col, v in zip(rows, (video, frame, no, payload[at : at + n]), strict=True):
+                        col.append(v)
+                    at, no = at + n, no + 1
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=["video_id", "f", "no", "record"])
+
+    return parts.select(F.col("video_id").cast("long"), F.col("f").cast("int"), "payload").mapInArrow(run, "video_id long, f int, no int, record binary")
+
+
+def unpack_parts(parts: DataFrame) -> DataFrame:
+    """Vectors with levels ``ly``, ``lu``, ``lv`` back from payloads; no offsets are needed."""
+    rec = record_bytes(parts).withColumn("h", F.hex("record"))
     num = lambda a, n: F.conv(F.substring("h", a * 2 + 1, n * 2), 16, 10).cast("int")
     ref, size = fn.from_refsize(num(6, 1))
-    v = rec.select("video_id", "f", num(0, 2).alias("pos_x"), num(2, 2).alias("pos_y"), fn.from_signmag7(num(4, 1)).alias("span_x"), fn.from_signmag7(num(5, 1)).alias("span_y"), ref.alias("ref"), size.alias("size"), "h")
-    v = v.withColumns({"bx": F.expr("CAST((pos_x + span_x) div 8 AS INT)"), "by": F.expr("CAST((pos_y + span_y) div 8 AS INT)")})
-    each = v.select("video_id", "f", "bx", "by", F.posexplode(F.expr("transform(sequence(0, 95), i -> CAST(conv(substring(h, 15 + 2 * i, 2), 16, 10) AS INT))")).alias("i", "b"))
-    levels = each.selectExpr(
-        "video_id", "f", "bx", "by", "CASE WHEN i < 64 THEN 'Y' WHEN i < 80 THEN 'U' ELSE 'V' END AS chan",
-        "CAST(CASE WHEN i < 64 THEN i div 8 ELSE (i % 16) div 4 END AS INT) AS v", "CAST(CASE WHEN i < 64 THEN i % 8 ELSE i % 4 END AS INT) AS u", "b",
-    )
-    return v.drop("h", "bx", "by"), levels.withColumn("level", fn.from_signmag7(F.col("b"))).drop("b")
+    v = rec.select("video_id", "f", "h", num(0, 2).alias("pos_x"), num(2, 2).alias("pos_y"), fn.from_signmag7(num(4, 1)).alias("span_x"), fn.from_signmag7(num(5, 1)).alias("span_y"), ref.alias("ref"), size.alias("size"))
+    codes = F.expr(f"transform(sequence({HEADER}, {HEADER} + size * size * 3 div 2 - 1), i -> CAST(conv(substring(h, CAST(2 * i + 1 AS INT), 2), 16, 10) AS INT))")
+    v = v.withColumns({"x": F.col("pos_x") + F.col("span_x"), "y": F.col("pos_y") + F.col("span_y"), "codes": codes})
+    v = v.withColumn("codes", F.transform("codes", fn.from_signmag7))
+    cuts = {"ly": "slice(codes, 1, size * size)", "lu": "slice(codes, size * size + 1, CAST(size * size div 4 AS INT))", "lv": "slice(codes, CAST(size * size * 5 div 4 + 1 AS INT), CAST(size * size div 4 AS INT))"}
+    return v.select(*[c for c in v.columns if c not in ("h", "codes")], *[F.expr(e).alias(c) for c, e in cuts.items()])
 
 
 def part_index(parts: DataFrame) -> DataFrame:

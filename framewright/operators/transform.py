@@ -7,6 +7,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tiles as arrays
+from .motion import targets
+
 # Quantisation steps by table, rows v, columns u.
 QUANT = {
     ("Y", 8): ((16, 11, 10, 16, 24, 40, 51, 61), (12, 12, 14, 19, 26, 58, 60, 55), (14, 13, 16, 24, 40, 57, 69, 56), (14, 17, 22, 29, 51, 87, 80, 62),
@@ -66,51 +69,91 @@ def dead_zone(d, most: int):
     return F.when(F.abs(d) > most, d).otherwise(F.lit(0).cast("long"))
 
 
-def residuals(vectors: DataFrame, luma: DataFrame, chroma: DataFrame) -> DataFrame:
-    """Differences of 8x8 targets to their matches in thousandths: (video_id, f, bx, by, chan, x, y, d) with x, y inside the block.
+def residual_blocks(vectors: DataFrame, tiles: DataFrame, most: int = 32, size: int = 32) -> DataFrame:
+    """Vectors with their blocks' differences ``dy``, ``du``, ``dv`` to the match, row by row, in thousandths.
 
-    Places of a block outside the frame differ by 0.
+    Small differences are 0 (``dead_zone``), and so are places outside the frame.
     """
-    keys = ["video_id", "f", "bx", "by"]
-    v = vectors.selectExpr("video_id", "f", "ref_f", "CAST((pos_x + span_x) div 8 AS INT) AS bx", "CAST((pos_y + span_y) div 8 AS INT) AS by", "pos_x", "pos_y")
-
-    def plane(df, xy, step, names, most):
-        x, y = xy
-        half = 8 // step
-        own = df.withColumns({"bx": F.expr(f"CAST({x} div {half} AS INT)"), "by": F.expr(f"CAST({y} div {half} AS INT)")})
-        both = v.join(own, keys).selectExpr(*keys, "ref_f", f"CAST({x} % {half} AS INT) AS i", f"CAST({y} % {half} AS INT) AS j",
-                                            f"CAST(floor(pos_x / {float(step)}) AS INT) + {x} % {half} AS rx", f"CAST(floor(pos_y / {float(step)}) AS INT) + {y} % {half} AS ry", *names.values())
-        there = df.select("video_id", F.col("f").alias("ref_f"), F.col(x).alias("rx"), F.col(y).alias("ry"), *[F.col(c).alias(f"{c}0") for c in names.values()])
-        both = both.join(there, ["video_id", "ref_f", "rx", "ry"])
-        each = F.explode(F.array(*[F.struct(F.lit(k).alias("chan"), dead_zone(F.col(c) - F.col(f"{c}0"), most).alias("d")) for k, c in names.items()]))
-        return both.select(*keys, F.col("i").alias("x"), F.col("j").alias("y"), each.alias("e")).select(*keys, "e.chan", "x", "y", "e.d")
-
-    def outside(df, xy, step, chans):
-        half = 8 // step
-        ends = df.groupBy("video_id").agg(*[(F.max(c) + 1).alias(e) for c, e in zip(xy, "wh", strict=True)])
-        cut_off = v.select(*keys).join(ends, "video_id").where(f"(bx + 1) * {half} > w OR (by + 1) * {half} > h")
-        places = cut_off.selectExpr("*", f"explode(sequence(0, {half - 1})) AS x").selectExpr("*", f"explode(sequence(0, {half - 1})) AS y")
-        each = F.explode(F.array(*[F.lit(k) for k in chans])).alias("chan")
-        return places.where(f"bx * {half} + x >= w OR by * {half} + y >= h").select(*keys, each, "x", "y", F.lit(0).cast("long").alias("d"))
-
-    inside = plane(luma, ("x", "y"), 1, {"Y": "ym"}, 1000).unionByName(plane(chroma, ("cx", "cy"), 2, {"U": "um", "V": "vm"}, 2000))
-    return inside.unionByName(outside(luma, ("x", "y"), 1, "Y")).unionByName(outside(chroma, ("cx", "cy"), 2, "UV"))
-
-
-def encode_residuals(residual: DataFrame) -> DataFrame:
-    """Quantised levels (video_id, f, bx, by, chan, v, u, level) of 8x8 luma and 4x4 chroma differences."""
-    keys = ["video_id", "f", "bx", "by", "chan"]
-    value = residual.withColumn("val", F.col("d") / 1000.0)
-    y = quantize(dct2d(value.where("chan = 'Y'"), keys, 8), "Y", 8)
-    c = quantize(dct2d(value.where("chan <> 'Y'"), keys, 4), "C", 4)
-    return y.unionByName(c)
-
-
-def decode_residuals(levels: DataFrame) -> DataFrame:
-    """(video_id, f, bx, by, chan, x, y, val) back from levels."""
-    keys = ["video_id", "f", "bx", "by", "chan"]
-    y = idct2d(dequantize(levels.where("chan = 'Y'"), "Y", 8), keys, 8)
-    return y.unionByName(idct2d(dequantize(levels.where("chan <> 'Y'"), "C", 4), keys, 4))
+    v = targets(vectors)
+    own = arrays.block_arrays(v.select(*arrays.LEAF), tiles, size)
+    at = {"rx": F.expr(f"CAST(pos_x div {size} AS INT)"), "ry": F.expr(f"CAST(pos_y div {size} AS INT)")}
+    both = v.join(own, list(arrays.LEAF)).withColumns(at).join(arrays.reference_tiles(tiles, most, size), ["video_id", "ref_f", "rx", "ry"])
+
+    def diff(own: str, there: str, n: int, zone: int) -> str:
+        match = arrays._cut_out(there, (size + most) // n, f"((pos_x - rx * {size}) div {n})", f"((pos_y - ry * {size}) div {n})", f"(size div {n})")
+        return f"transform(zip_with({own}, {match}, (p, q) -> coalesce(p - q, 0L)), d -> CASE WHEN abs(d) > {zone} THEN d ELSE 0L END)"
+
+    return both.select(*v.columns, F.expr(diff("yb", "yr", 1, 1000)).alias("dy"), F.expr(diff("ub", "ur", 2, 2000)).alias("du"), F.expr(diff("vb", "vr", 2, 2000)).alias("dv"))
+
+
+def _long(df: DataFrame, keys: tuple, arrays_of: dict[str, str]):
+    """One row per value of some arrays: keys, chan, place in the array, value."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("chan"), F.col(a).alias("a")) for k, a in arrays_of.items()]))
+    return df.select(*keys, each.alias("e")).select(*keys, "e.chan", F.posexplode("e.a").alias("i", "a"))
+
+
+def residuals(blocks: DataFrame) -> DataFrame:
+    """(video_id, f, x, y, size, chan, i, j, d): differences of ``residual_blocks`` with places inside the block."""
+    rows = _long(blocks, arrays.LEAF, {"Y": "dy", "U": "du", "V": "dv"})
+    wide = "CASE WHEN chan = 'Y' THEN size ELSE size div 2 END"
+    return rows.selectExpr(*arrays.LEAF, "chan", f"CAST(i % {wide} AS INT) AS i", f"CAST(i div {wide} AS INT) AS j", "a AS d")
+
+
+def _levels(plane: str, chan: str, m: int, side: str) -> str:
+    """Quantised levels of a square array in m x m parts, columns of parts first; in a part by v, then u."""
+    step = lambda k: 1 / math.sqrt(m) if k == 0 else math.sqrt(2.0 / m)
+    array = lambda v: "array(" + ", ".join(v) + ")"
+    weight = array([f"{step(k) * math.cos((2 * i + 1) * k * math.pi / (2 * m))!r}D" for k in range(m) for i in range(m)])
+    quant = array([str(q) for row in QUANT[chan, m] for q in row])
+    n = f"({side} div {m})"
+    dot = lambda w, s: f"aggregate(zip_with({w}, {s}, (w, p) -> w * p), 0D, (t, p) -> t + p)"
+    line = f"transform(slice({plane}, CAST(((part % {n}) * {m} + j) * {side} + (part div {n}) * {m} + 1 AS INT), {m}), p -> p / 1000D - 128D)"
+    lines = f"transform(sequence(0, {m - 1}), j -> {line})"
+    rows = f"transform(sequence(0, {m - 1}), k -> transform(ls, l -> {dot(f'slice({weight}, k * {m} + 1, {m})', 'l')}))"
+    coefs = f"flatten(transform(rs, r -> transform(sequence(0, {m - 1}), k -> {dot(f'slice({weight}, k * {m} + 1, {m})', 'r')})))"
+    coefs = f"flatten(transform(array({rows}), rs -> {coefs}))"
+    coefs = f"flatten(transform(array({lines}), ls -> {coefs}))"
+    level = f"zip_with({coefs}, {quant}, (c, q) -> CAST(floor(round(c, 6) / q + 0.5D) AS INT))"
+    return f"flatten(transform(sequence(0, {n} * {n} - 1), part -> {level}))"
+
+
+def code_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks with levels ``ly``, ``lu``, ``lv`` in record order: 8x8 luma and 4x4 chroma parts, 4x4 and 2x2 for blocks of 4."""
+    small = lambda d, chan, m, side: f"CASE WHEN size = 4 THEN {_levels(d, chan, m // 2, side)} ELSE {_levels(d, chan, m, side)} END"
+    planes = {"ly": ("dy", "Y", 8, "size"), "lu": ("du", "C", 4, "(size div 2)"), "lv": ("dv", "C", 4, "(size div 2)")}
+    return blocks.select(*[c for c in blocks.columns if c not in ("dy", "du", "dv")], *[F.expr(small(*p)).alias(c) for c, p in planes.items()])
+
+
+def _samples(plane: str, chan: str, m: int, side: str) -> str:
+    """Differences in thousandths, row by row, back from levels in record order."""
+    step = lambda k: 1 / math.sqrt(m) if k == 0 else math.sqrt(2.0 / m)
+    array = lambda v: "array(" + ", ".join(v) + ")"
+    weight = array([f"{step(k) * math.cos((2 * i + 1) * k * math.pi / (2 * m))!r}D" for i in range(m) for k in range(m)])
+    quant = array([str(q) for row in QUANT[chan, m] for q in row])
+    n = f"({side} div {m})"
+    dot = lambda w, s: f"aggregate(zip_with({w}, {s}, (w, p) -> w * p), 0D, (t, p) -> t + p)"
+    coefs = f"zip_with(slice({plane}, part * {m * m} + 1, {m * m}), {quant}, (l, q) -> l * q)"
+    lines = f"transform(sequence(0, {m - 1}), v -> transform(sequence(0, {m - 1}), j -> {dot(f'slice({weight}, j * {m} + 1, {m})', f'slice(cs, v * {m} + 1, {m})')}))"
+    cells = f"transform(sequence(0, {m * m - 1}), k -> round({dot(f'slice({weight}, k % {m} * {m} + 1, {m})', f'transform(ls, l -> l[k div {m}])')}, 6))"
+    part = f"transform(array({coefs}), cs -> transform(array({lines}), ls -> {cells})[0])[0]"
+    parts = f"transform(sequence(0, {n} * {n} - 1), part -> {part})"
+    # place k of the block lies in the part of its column and row
+    at = f"ps[CAST((k % {side}) div {m} * {n} + (k div {side}) div {m} AS INT)][CAST((k div {side}) % {m} * {m} + (k % {side}) % {m} AS INT)]"
+    return f"transform(array({parts}), ps -> transform(sequence(0, {side} * {side} - 1), k -> CAST(floor(({at} + 128) * 1000 + 0.5D) AS BIGINT)))[0]"
+
+
+def decode_blocks(coded: DataFrame) -> DataFrame:
+    """Vectors with differences ``dy``, ``du``, ``dv`` back from their levels."""
+    small = lambda l, chan, m, side: f"CASE WHEN size = 4 THEN {_samples(l, chan, m // 2, side)} ELSE {_samples(l, chan, m, side)} END"
+    planes = {"dy": ("ly", "Y", 8, "size"), "du": ("lu", "C", 4, "(size div 2)"), "dv": ("lv", "C", 4, "(size div 2)")}
+    return coded.select(*[c for c in coded.columns if c not in ("ly", "lu", "lv")], *[F.expr(small(*p)).alias(c) for c, p in planes.items()])
+
+
+def levels(coded: DataFrame) -> DataFrame:
+    """(video_id, f, x, y, size, sub, chan, v, u, level): one row a level."""
+    rows = _long(coded, arrays.LEAF, {"Y": "ly", "U": "lu", "V": "lv"})
+    m = "(CASE WHEN chan = 'Y' THEN 8 ELSE 4 END div CASE WHEN size = 4 THEN 2 ELSE 1 END)"
+    return rows.selectExpr(*arrays.LEAF, f"CAST(i div ({m} * {m}) AS INT) AS sub", "chan", f"CAST(i % ({m} * {m}) div {m} AS INT) AS v", f"CAST(i % {m} AS INT) AS u", "a AS level")
 
 
 def level_histogram(levels: DataFrame) -> DataFrame:
@@ -120,3 +163,19 @@ def level_histogram(levels: DataFrame) -> DataFrame:
 def level_overflow(levels: DataFrame) -> DataFrame:
     """Levels per channel that seven bits can't hold."""
     return levels.groupBy("chan").agg(F.count("*").alias("n"), F.sum(F.when(F.abs("level") > 127, 1).otherwise(0)).alias("n_overflow"))
+
+
+def zero_share(levels: DataFrame) -> DataFrame:
+    """Levels per channel, those that are 0, and their share in millionths."""
+    zeros = F.sum(F.when(F.col("level") == 0, 1).otherwise(0))
+    got = levels.groupBy("chan").agg(F.count("*").alias("n"), zeros.cast("long").alias("n_zero"))
+    return got.withColumn("zero_micro", F.expr("n_zero * 1000000 div n").cast("long"))
+
+
+def record_overflow(coded: DataFrame) -> DataFrame:
+    """Per frame: levels and spans, and how many of them seven bits can't hold."""
+    levels = "concat(ly, lu, lv)"
+    wide = F.expr(f"size(filter({levels}, l -> abs(l) > 127))")
+    spans = F.expr("CASE WHEN abs(span_x) > 127 THEN 1 ELSE 0 END + CASE WHEN abs(span_y) > 127 THEN 1 ELSE 0 END")
+    long = lambda c, name: F.sum(c).cast("long").alias(name)
+    return coded.groupBy("video_id", "f").agg(long(F.expr(f"size({levels})"), "n_levels"), long(wide, "n_wide_levels"), (2 * F.count("*")).alias("n_spans"), long(spans, "n_wide_spans"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+from .operators.motion import RINGS
 from .operators.transform import QUANT
 
 
@@ -38,6 +39,8 @@ _SIZES = {s: f"""SELECT p.video_id, p.f, p.bx, p.by, {s} AS size, r, g, b, n,
     JOIN (SELECT video_id, f, cx // {s // 4} AS bx, cy // {s // 4} AS by, CAST(floor(avg(r) + 0.5) AS INT) AS r, CAST(floor(avg(g) + 0.5) AS INT) AS g, CAST(floor(avg(b) + 0.5) AS INT) AS b FROM cells GROUP BY ALL) m
     USING (video_id, f, bx, by)""" for s in (4, 8, 16, 32)}
 
+_PARTS = {"y8": "chan = 'Y' AND size > 4", "y4": "chan = 'Y' AND size = 4", "c4": "chan <> 'Y' AND size > 4", "c2": "chan <> 'Y' AND size = 4"}
+
 CTES = {
     "px": f"""SELECT video_id, f, x, y,
         CAST(CASE WHEN {_OBJ} THEN (x - ox) * 17 + (y - oy) * 11 + 40 ELSE (x * 2 + y * 3 + video_id * 11) % 200 END AS INT) AS r,
@@ -48,7 +51,7 @@ CTES = {
     "tiles": "SELECT vec_id AS tile, CAST((i - 1) // 8 AS INT) AS x, CAST((i - 1) % 8 AS INT) AS y, CAST(floor(CAST(embedding[i] AS DOUBLE) * 256) AS BIGINT) AS val FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)",
     "sub4": "SELECT tile, CAST((x // 4) * 2 + y // 4 AS INT) AS sub, x % 4 AS x, y % 4 AS y, val FROM tiles",
     "sub2": "SELECT tile, CAST((x // 2) * 4 + y // 2 AS INT) AS sub, x % 2 AS x, y % 2 AS y, val FROM tiles",
-    "basis8": _basis(8), "basis4": _basis(4), "basis2": _basis(2), "qy8": _quant("Y", 8), "qc4": _quant("C", 4),
+    "basis8": _basis(8), "basis4": _basis(4), "basis2": _basis(2), "qy8": _quant("Y", 8), "qc4": _quant("C", 4), "qy4": _quant("Y", 4), "qc2": _quant("C", 2),
     "d8": _dct("tiles", "tile", 8),
     "wide8": _dct("(SELECT tile, x, y, val * 40 AS val FROM tiles)", "tile", 8),
     "l8": "SELECT tile, v, u, CAST(floor(coef / q + 0.5) AS INT) AS level FROM d8 JOIN qy8 USING (v, u)",
@@ -105,11 +108,55 @@ CTES = {
     "coef_c": _dct("res_c", "video_id, f, bx, by, chan", 4),
     "levels": """SELECT video_id, f, bx, by, chan, v, u, CAST(floor(coef / q + 0.5) AS INT) AS level FROM coef_y JOIN qy8 USING (v, u)
         UNION ALL SELECT video_id, f, bx, by, chan, v, u, CAST(floor(coef / q + 0.5) AS INT) FROM coef_c JOIN qc4 USING (v, u)""",
-    "sized": "SELECT video_id, f, CAST(sum(7 + size * size + 2 * (size // 2) * (size // 2)) + 1 AS BIGINT) AS bytes FROM vec GROUP BY ALL",
-    "recs": """SELECT v.video_id, v.f, bx, by, printf('%04X%04X%02X%02X%02X', pos_x, pos_y, abs(span_x) + CASE WHEN span_x < 0 THEN 128 ELSE 0 END, abs(span_y) + CASE WHEN span_y < 0 THEN 128 ELSE 0 END, ref * 16 + 2) || h AS h
-        FROM vec v JOIN (SELECT video_id, f, bx, by, string_agg(printf('%02X', (abs(level) & 127) + CASE WHEN level < 0 THEN 128 ELSE 0 END), '' ORDER BY chan <> 'Y', chan, v, u) AS h FROM levels GROUP BY ALL) USING (video_id, f, bx, by)""",
+    # blocks of the partition's sizes
+    "leaf_y": "SELECT l.video_id, l.f, l.x, l.y, l.size, p.x AS px, p.y AS py, p.x - l.x AS i, p.y - l.y AS j, p.ym FROM luma p JOIN leaves l ON p.video_id = l.video_id AND p.f = l.f AND p.x // l.size * l.size = l.x AND p.y // l.size * l.size = l.y",
+    "leaf_c": "SELECT l.video_id, l.f, l.x, l.y, l.size, p.cx AS px, p.cy AS py, p.cx - l.x // 2 AS i, p.cy - l.y // 2 AS j, p.um, p.vm FROM chroma p JOIN leaves l ON p.video_id = l.video_id AND p.f = l.f AND 2 * p.cx // l.size * l.size = l.x AND 2 * p.cy // l.size * l.size = l.y",
+    "lchange": """SELECT * FROM (SELECT a.video_id, a.f, a.x, a.y, a.size, sum((a.ym - p.ym) * (a.ym - p.ym)) AS sy, count(*) AS ny FROM leaf_y a JOIN fi ON a.video_id = fi.video_id AND a.f = fi.f
+            JOIN luma p ON p.video_id = a.video_id AND p.f = fi.prev_f AND p.x = a.px AND p.y = a.py GROUP BY ALL)
+        JOIN (SELECT a.video_id, a.f, a.x, a.y, a.size, sum((a.um - p.um) * (a.um - p.um)) AS su, sum((a.vm - p.vm) * (a.vm - p.vm)) AS sv, count(*) AS nu FROM leaf_c a JOIN fi ON a.video_id = fi.video_id AND a.f = fi.f
+            JOIN chroma p ON p.video_id = a.video_id AND p.f = fi.prev_f AND p.cx = a.px AND p.cy = a.py GROUP BY ALL) USING (video_id, f, x, y, size)""",
+    "lchanged": "SELECT video_id, f, x, y, size FROM lchange WHERE sy > 1550000 * ny OR su > 3600000 * nu OR sv > 3600000 * nu",
+    **{name: f"""SELECT c.video_id, c.f, x, y, size, ref_f, dx, dy FROM lchanged c JOIN refs USING (video_id, f), (SELECT i - {lo} AS dx FROM {_axis(n)} t(i)), (SELECT i - {lo} AS dy FROM {_axis(n)} t(i))
+        WHERE x + dx BETWEEN 0 AND 32 - size AND y + dy BETWEEN 0 AND 32 - size""" for name, lo, n in (("lcand", 2, 4), ("wcand", 4, 9))},
+    **{cost: f"""SELECT video_id, f, x, y, size, ref_f, dx, dy, CAST(sy + 4 * su + 4 * sv AS BIGINT) AS cost FROM
+        (SELECT c.video_id, c.f, c.x, c.y, c.size, ref_f, dx, dy, sum((a.ym - b.ym) * (a.ym - b.ym)) AS sy FROM {cand} c JOIN leaf_y a ON a.video_id = c.video_id AND a.f = c.f AND a.x = c.x AND a.y = c.y AND a.size = c.size
+         JOIN luma b ON b.video_id = c.video_id AND b.f = ref_f AND b.x = a.px + dx AND b.y = a.py + dy GROUP BY ALL)
+        JOIN (SELECT c.video_id, c.f, c.x, c.y, c.size, ref_f, dx, dy, sum((a.um - b.um) * (a.um - b.um)) AS su, sum((a.vm - b.vm) * (a.vm - b.vm)) AS sv FROM {cand} c JOIN leaf_c a ON a.video_id = c.video_id AND a.f = c.f AND a.x = c.x AND a.y = c.y AND a.size = c.size
+         JOIN chroma b ON b.video_id = c.video_id AND b.f = ref_f AND b.cx = (c.x + dx) // 2 + a.i AND b.cy = (c.y + dy) // 2 + a.j GROUP BY ALL) USING (video_id, f, x, y, size, ref_f, dx, dy)""" for cost, cand in (("lcost", "lcand"), ("wcost", "wcand"))},
+    "ring": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT {r} AS radius, i, j FROM {_values(list(ring))} t(i, j)" for r, ring in RINGS.items()) + ")",
+    # a round for every block and reference: the ring's cheapest place, then the centre moves or the radius halves
+    "hexa": """SELECT video_id, f, x, y, size, ref_f, dx, dy, cost FROM (WITH RECURSIVE walk AS (
+            SELECT DISTINCT video_id, f, x, y, size, ref_f, 0 AS dx, 0 AS dy, 4 AS radius, CAST(NULL AS BIGINT) AS cost FROM wcand
+            UNION ALL SELECT video_id, f, x, y, size, ref_f, CASE WHEN better THEN m.dx ELSE dx END, CASE WHEN better THEN m.dy ELSE dy END,
+                CASE WHEN radius > 1 AND better AND (m.dx <> dx OR m.dy <> dy) THEN radius ELSE radius // 2 END, CASE WHEN better THEN m.cost ELSE cost END
+            FROM (SELECT *, m.cost IS NOT NULL AND (cost IS NULL OR m.cost < cost) AS better FROM
+                (SELECT w.video_id, w.f, w.x, w.y, w.size, w.ref_f, w.dx, w.dy, w.radius, w.cost, min({'cost': t.cost, 'dy': t.dy, 'dx': t.dx}) AS m
+                 FROM walk w JOIN ring r ON r.radius = w.radius JOIN wcost t ON t.video_id = w.video_id AND t.f = w.f AND t.x = w.x AND t.y = w.y AND t.size = w.size AND t.ref_f = w.ref_f AND t.dx = w.dx + r.i AND t.dy = w.dy + r.j
+                 WHERE w.radius > 0 GROUP BY ALL)))
+        SELECT * FROM walk) WHERE radius = 0""",
+    **{name: f"""SELECT r.video_id, r.f, r.ref_f, ref, x + dx AS pos_x, y + dy AS pos_y, -dx AS span_x, -dy AS span_y, size, cost, x, y FROM
+        (SELECT *, row_number() OVER (PARTITION BY video_id, f, x, y, size ORDER BY cost, ref_f, dy, dx) AS place FROM ({src})) r JOIN refs USING (video_id, f, ref_f) WHERE place = 1"""
+       for name, src in (("lvec", "SELECT * FROM lcost"), ("hvec", "SELECT * FROM lcost UNION ALL SELECT * FROM hexa"))},
+    # one join a step here too
+    **{f"{n}cur_y": f"SELECT v.video_id, v.f, v.x, v.y, v.size, ref_f, i, j, ym AS am, pos_x + i AS rx, pos_y + j AS ry FROM {n}vec v JOIN leaf_y a ON a.video_id = v.video_id AND a.f = v.f AND a.x = v.x AND a.y = v.y AND a.size = v.size" for n in "lh"},
+    **{f"{n}cur_c": f"SELECT v.video_id, v.f, v.x, v.y, v.size, ref_f, i, j, um AS ua, vm AS va, pos_x // 2 + i AS rx, pos_y // 2 + j AS ry FROM {n}vec v JOIN leaf_c a ON a.video_id = v.video_id AND a.f = v.f AND a.x = v.x AND a.y = v.y AND a.size = v.size" for n in "lh"},
+    **{f"{n}pair_c": f"SELECT p.*, ua - um AS du, va - vm AS dv FROM {n}cur_c p JOIN chroma b ON b.video_id = p.video_id AND b.f = ref_f AND b.cx = rx AND b.cy = ry" for n in "lh"},
+    **{f"{n}resid": f"""SELECT p.video_id, p.f, p.x, p.y, size, 'Y' AS chan, i, j, CASE WHEN abs(am - ym) > 1000 THEN am - ym ELSE 0 END AS d FROM {n}cur_y p JOIN luma b ON b.video_id = p.video_id AND b.f = ref_f AND b.x = rx AND b.y = ry
+        UNION ALL SELECT video_id, f, x, y, size, 'U', i, j, CASE WHEN abs(du) > 2000 THEN du ELSE 0 END FROM {n}pair_c
+        UNION ALL SELECT video_id, f, x, y, size, 'V', i, j, CASE WHEN abs(dv) > 2000 THEN dv ELSE 0 END FROM {n}pair_c""" for n in "lh"},
+    **{f"{n}part": f"SELECT video_id, f, x AS lx, y AS ly, size, chan, (i // m) * (side // m) + j // m AS sub, i % m AS x, j % m AS y, m, d / 1000.0 AS val FROM (SELECT *, CASE WHEN chan = 'Y' THEN size ELSE size // 2 END AS side, CASE WHEN chan = 'Y' THEN 8 ELSE 4 END // CASE WHEN size = 4 THEN 2 ELSE 1 END AS m FROM {n}resid)" for n in "lh"},
+    **{f"{n}p{k}": f"SELECT * FROM {n}part WHERE {where}" for n in "lh" for k, where in _PARTS.items()},
+    **{f"{n}c{k}": _dct(f"{n}p{k}", "video_id, f, lx, ly, size, chan, sub", int(k[-1])) for n in "lh" for k in _PARTS},
+    **{f"{n}levels": " UNION ALL ".join(f"SELECT video_id, f, lx AS x, ly AS y, size, chan, sub, v, u, CAST(floor(coef / q + 0.5) AS INT) AS level FROM {n}c{k} JOIN q{k} USING (v, u)" for k in _PARTS) for n in "lh"},
+    "sized": "SELECT video_id, f, CAST(sum(7 + size * size + 2 * (size // 2) * (size // 2)) + 1 AS BIGINT) AS bytes FROM lvec GROUP BY ALL",
+    "recs": """SELECT v.video_id, v.f, v.x, v.y, printf('%04X%04X%02X%02X%02X', pos_x, pos_y, abs(span_x) + CASE WHEN span_x < 0 THEN 128 ELSE 0 END, abs(span_y) + CASE WHEN span_y < 0 THEN 128 ELSE 0 END, ref * 16 + CAST(log2(v.size) AS INT) - 1) || h AS h
+        FROM lvec v JOIN (SELECT video_id, f, x, y, size, string_agg(printf('%02X', (abs(level) & 127) + CASE WHEN level < 0 THEN 128 ELSE 0 END), '' ORDER BY chan <> 'Y', chan, sub, v, u) AS h FROM llevels GROUP BY ALL) USING (video_id, f, x, y, size)""",
     "rebuilt": "SELECT video_id, f, ax AS x, ay AS y, CAST(bm + d AS BIGINT) AS ym FROM pair_y",
-    "fstat": "SELECT video_id, f, count(*) AS n_vectors, CAST(count(*) * 64 AS BIGINT) AS area, CAST(sum(cost) AS DOUBLE) / (count(*) * 256e6) AS mean_error FROM vec GROUP BY ALL",
+    # blocks without a vector count as leftovers
+    **{f"{n}left": f"SELECT video_id, f, count(*) AS n_uncoded, CAST(sum(size * size) AS BIGINT) AS uncoded_area FROM (SELECT video_id, f, x, y, size FROM lchanged EXCEPT SELECT video_id, f, x, y, size FROM {n}vec) GROUP BY ALL" for n in "lh"},
+    **{f"{n}stat": f"""SELECT video_id, f, coalesce(n_vectors, 0) AS n_vectors, coalesce(area, 0) AS area, coalesce(error, 0) AS mean_error, coalesce(n_uncoded, 0) AS n_uncoded, coalesce(uncoded_area, 0) AS uncoded_area
+        FROM (SELECT video_id, f, count(*) AS n_vectors, CAST(sum(size * size) AS BIGINT) AS area, CAST(sum(cost * (16384 // (size * size))) AS DOUBLE) / (count(*) * (4e6 * 16384)) AS error FROM {n}vec GROUP BY ALL) FULL JOIN {n}left USING (video_id, f)""" for n in "lh"},
+    **{f"{n}total": f"SELECT video_id, f, count(DISTINCT size) AS n_sizes, count(*) AS n_levels, CAST(sum(level) AS BIGINT) AS level_sum, CAST(sum(abs(level)) AS BIGINT) AS level_abs FROM {n}levels GROUP BY ALL" for n in "lh"},
 }
 
 
@@ -158,9 +205,16 @@ BODIES = {
     "frame_index": "SELECT * FROM fi",
     "part_index": """WITH p AS (SELECT video_id, n AS part_no, coalesce(bytes, 1) AS len FROM fi LEFT JOIN sized USING (video_id, f) WHERE n > 0 UNION ALL SELECT DISTINCT video_id, 0, 3072 FROM px)
         SELECT video_id, part_no, len, CAST(16 + 4 * count(*) OVER (PARTITION BY video_id) + coalesce(sum(len) OVER (PARTITION BY video_id ORDER BY part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM p""",
-    "pack_parts": "SELECT video_id, f, '01' || string_agg(h, '' ORDER BY bx, by) AS payload, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY bx, by) AS offsets FROM (SELECT *, 1 + 103 * (row_number() OVER (PARTITION BY video_id, f ORDER BY bx, by) - 1) AS pos FROM recs) GROUP BY video_id, f",
-    "unpack_parts": """SELECT * FROM (SELECT video_id, f, count(*) AS n, CAST(sum(pos_x + 64 * pos_y + 4096 * (span_x + 8) + 65536 * (span_y + 8) + 1048576 * ref) AS BIGINT) AS mark FROM vec GROUP BY ALL)
-        JOIN (SELECT video_id, f, CAST(sum(sign(level) * (abs(level) & 127) * (v * 8 + u + 1)) AS BIGINT) AS level_sum FROM levels GROUP BY ALL) USING (video_id, f)""",
+    "pack_parts": "SELECT video_id, f, '01' || string_agg(h, '' ORDER BY x, y) AS payload FROM recs GROUP BY video_id, f",
+    "unpack_parts": """SELECT v.video_id, v.f, v.x, v.y, v.size, pos_x, pos_y, span_x, span_y, ref, level_sum FROM lvec v JOIN
+        (SELECT video_id, f, x, y, size, CAST(sum(sign(level) * (abs(level) & 127) * place) AS BIGINT) AS level_sum FROM (SELECT *, row_number() OVER (PARTITION BY video_id, f, x, y, size ORDER BY chan <> 'Y', chan, sub, v, u) AS place FROM llevels) GROUP BY ALL) USING (video_id, f, x, y, size)""",
+    "packing_ratio": "SELECT video_id, f, raw_bytes, bytes, raw_bytes * 1000 // bytes AS ratio_milli FROM (SELECT r.video_id, r.f, raw_bytes, coalesce(bytes, 1) AS bytes FROM (SELECT video_id, f, 3 * count(*) AS raw_bytes FROM px GROUP BY ALL) r LEFT JOIN sized s ON r.video_id = s.video_id AND r.f = s.f)",
+    "changed_leaves": "SELECT * FROM lchanged",
+    "pattern_search": "SELECT * FROM hexa",
+    "leaf_residuals": "SELECT * FROM llevels",
+    "leaf_overflow": "SELECT video_id, f, n_levels, n_wide_levels, n_spans, n_wide_spans FROM (SELECT video_id, f, count(*) AS n_levels, count(*) FILTER (abs(level) > 127) AS n_wide_levels FROM llevels GROUP BY ALL) JOIN (SELECT video_id, f, 2 * count(*) AS n_spans, count(*) FILTER (abs(span_x) > 127) + count(*) FILTER (abs(span_y) > 127) AS n_wide_spans FROM lvec GROUP BY ALL) USING (video_id, f)",
+    "zero_share": "SELECT 'Y' AS chan, count(*) AS n, count(*) FILTER (level = 0) AS n_zero, count(*) FILTER (level = 0) * 1000000 // count(*) AS zero_micro FROM l8",
+    "encode_pattern": "SELECT video_id, f, n_vectors, area, round(mean_error, 6) AS mean_error, n_uncoded, n_sizes, n_levels, level_sum, level_abs FROM hstat JOIN htotal USING (video_id, f)",
     "assemble_raster": f"SELECT video_id, f, string_agg(CAST({_ARGB} AS VARCHAR), ',' ORDER BY y, x) AS argb FROM rgb GROUP BY ALL",
     "rgb_pack": f"SELECT video_id, f, x, y, CAST({_ARGB} AS BIGINT) AS argb, r, g, b FROM px",
     "rgb_to_yuv": "SELECT video_id, f, x, y, CAST(299 * r + 587 * g + 114 * b AS BIGINT) AS ym, CAST(128000000 - 168736 * r - 331264 * g + 500000 * b AS BIGINT) AS u_micro, CAST(128000000 + 500000 * r - 418688 * g - 81312 * b AS BIGINT) AS v_micro FROM px",
@@ -187,7 +241,7 @@ BODIES = {
     "top_k_matches": "SELECT * FROM ranked WHERE place <= 3",
     "motion_search": "SELECT * EXCLUDE (bx, by) FROM vec",
     "uncoded_blocks": "SELECT video_id, f, bx, by FROM changed EXCEPT SELECT video_id, f, bx, by FROM vec WHERE cost < 64000000",
-    "match_offsets": "SELECT ref, span_x, span_y, count(*) AS n FROM vec GROUP BY ALL",
+    "match_offsets": "SELECT ref, span_x, span_y, count(*) AS n FROM lvec GROUP BY ALL",
     "dct8": "SELECT * FROM d8", "dct4": _dct("sub4", "tile, sub", 4), "dct2": _dct("sub2", "tile, sub", 2), "split_subtiles": "SELECT * FROM sub4",
     "quantize": "SELECT * FROM l8",
     "dequantize": "SELECT tile, v, u, level * q AS coef FROM l8 JOIN qy8 USING (v, u)",
@@ -203,9 +257,9 @@ BODIES = {
     "patch_union": "SELECT video_id, f, x, y, CASE WHEN x >= 8 THEN ym + 5 ELSE ym END AS ym FROM luma WHERE x < 20",
     "edge_neighbours": "SELECT * FROM edges_h",
     "deblock_columns": _smooth(False), "deblock_rows": _smooth(True),
-    "frame_stats": "SELECT video_id, f, n_vectors, area, round(mean_error, 6) AS mean_error, CAST(0 AS BIGINT) AS n_uncoded, CAST(0 AS BIGINT) AS uncoded_area FROM fstat",
-    "running_mean_error": "SELECT video_id, f, round(avg(mean_error) OVER (PARTITION BY video_id ORDER BY f ROWS UNBOUNDED PRECEDING), 6) AS running_error FROM fstat",
-    "encode_open_loop": "SELECT video_id, f, n_vectors, area, CAST(0 AS BIGINT) AS n_uncoded, n_levels, level_sum, level_abs FROM fstat JOIN (SELECT video_id, f, count(*) AS n_levels, CAST(sum(level) AS BIGINT) AS level_sum, CAST(sum(abs(level)) AS BIGINT) AS level_abs FROM levels GROUP BY ALL) USING (video_id, f)",
+    "frame_stats": "SELECT video_id, f, n_vectors, area, round(mean_error, 6) AS mean_error, n_uncoded, uncoded_area FROM lstat",
+    "running_mean_error": "SELECT video_id, f, round(avg(mean_error) OVER (PARTITION BY video_id ORDER BY f ROWS UNBOUNDED PRECEDING), 6) AS running_error FROM lstat",
+    "encode_open_loop": "SELECT video_id, f, n_vectors, area, round(mean_error, 6) AS mean_error, n_uncoded, n_sizes, n_levels, level_sum, level_abs FROM lstat JOIN ltotal USING (video_id, f)",
     "changed_per_frame": "SELECT fi.video_id, fi.f, count(c.bx) AS n_changed FROM fi LEFT JOIN changed c ON fi.video_id = c.video_id AND fi.f = c.f WHERE prev_f IS NOT NULL GROUP BY fi.video_id, fi.f",
 }
 

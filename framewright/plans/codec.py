@@ -1,4 +1,8 @@
-"""Whole encode and decode plans over tables of many videos."""
+"""Whole encode and decode plans over tables of many videos.
+
+Frames become tiles once, which are written with their leaves.  Blocks are the
+leaves of the adaptive partition, from 4 pixels to a whole tile.
+"""
 
 from __future__ import annotations
 
@@ -8,70 +12,101 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import blocks, motion, planes, rebuild, stats, transform
+from ..operators import motion, rebuild, stats, tiles, transform
 from ..sources.frames import frame_index
+from ..sources.shared import cut as write
+
+#: Earlier frames that a frame may refer to.
+KEPT = 4
 
 
-def encode(pixels: DataFrame, lo: int = -2, hi: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Open loop, all frames in one plan: (vectors, levels, frame_stats)."""
-    y, c = planes.luma(pixels), planes.chroma(pixels)
-    changed = blocks.changed_blocks(y, c)
-    vectors = motion.motion_search(changed, y, c, lo, hi)
-    levels = transform.encode_residuals(transform.residuals(vectors, y, c))
-    return vectors, levels, stats.frame_stats(vectors, motion.uncoded_blocks(changed, vectors))
-
-
-def _painted(y: DataFrame, c: DataFrame, vectors: DataFrame, levels: DataFrame, index: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """Frame ``n`` of all videos from earlier rebuilt planes."""
-    now = index.where(F.col("n") == n).select("video_id", "f", "prev_f")
-    v = vectors.join(now.select("video_id", "f"), ["video_id", "f"])
-    d = transform.decode_residuals(levels.join(now.select("video_id", "f"), ["video_id", "f"])).withColumn("d", F.floor(F.col("val") * 1000 + 0.5))
-    luma = rebuild.reconstruct_step(y, v, d, now)
-    where = v.selectExpr("video_id", "f", "ref_f", "CAST((pos_x + span_x) div 8 AS INT) AS bx", "CAST((pos_y + span_y) div 8 AS INT) AS by", "pos_x", "pos_y")
-    side = d.where("chan <> 'Y'").groupBy("video_id", "f", "bx", "by", "x", "y").agg(*[F.max(F.when(F.col("chan") == k, F.col("d"))).alias(f"d{k}") for k in "UV"])
-    rows = where.join(side, ["video_id", "f", "bx", "by"]).selectExpr(
-        "video_id", "f", "ref_f", "bx * 4 + x AS tx", "by * 4 + y AS ty", "CAST(floor(pos_x / 2.0) AS INT) + x AS cx", "CAST(floor(pos_y / 2.0) AS INT) + y AS cy", "dU", "dV"
-    )
-    rows = rows.join(c.withColumnRenamed("f", "ref_f"), ["video_id", "ref_f", "cx", "cy"]).selectExpr("video_id", "f", "tx AS cx", "ty AS cy", "um + dU AS pu", "vm + dV AS pv")
-    base = now.join(c.withColumnRenamed("f", "prev_f"), ["video_id", "prev_f"]).drop("prev_f")
-    chroma = base.join(rows, ["video_id", "f", "cx", "cy"], "left").select("video_id", "f", "cx", "cy", F.coalesce("pu", "um").alias("um"), F.coalesce("pv", "vm").alias("vm"))
-    return luma, chroma
-
-
-def decode(pixels: DataFrame, vectors: DataFrame, levels: DataFrame, cut: Callable[[DataFrame], DataFrame], smooth: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rebuild (luma, chroma) of all frames; ``pixels`` needs only start frames.
-
-    A step rebuilds frame k of every video and ``cut`` writes it to shared
-    storage; the number of steps is the longest video's number of frames.
+def encode(
+    pixels: DataFrame, lo: int = -2, hi: int = 1, window: int | None = None, root: int = 32, threshold: int = 45, block: int | None = None, cut: Callable[[DataFrame], DataFrame] = write
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Open loop, all frames at once: (vectors, coded, frame_stats); ``coded`` are the vectors with their levels.
+
+    Blocks are the leaves of the partition of ``root`` pixels, or with
+    ``block`` all of one size.  With ``window`` a frontier of hexagons searches
+    that far around a block before the small window lo..hi is tried.  Tiles,
+    changed leaves and vectors are written once by ``cut``.
     """
-    index = cut(frame_index(vectors.select("video_id", "f").unionByName(pixels.select("video_id", "f"))))
-    y, c = cut(planes.luma(pixels)), cut(planes.chroma(pixels))
+    made = tiles.frame_tiles(pixels, root)
+    t = cut(tiles.with_leaves(made, root, threshold) if block is None else tiles.grid(made, block, root))
+    changed = cut(tiles.changed_leaves(t, size=root))
+    most = root if block is None else block
+    if window is None:
+        vectors = motion.motion_search(changed, t, lo, hi, KEPT, most, root)
+    else:
+        vectors = motion.combined_search(changed, t, cut, window, lo, hi, KEPT, most, root)
+    vectors = cut(vectors)
+    coded = transform.code_blocks(transform.residual_blocks(vectors, t, most, root))
+    return vectors, coded, stats.frame_stats(vectors, motion.uncoded_blocks(changed, vectors))
+
+
+def _numbered(t: DataFrame, index: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Tiles with the gap-free number of their frame."""
+    return cut(t.join(index.select("video_id", "f", "n"), ["video_id", "f"]))
+
+
+def _step(store: list[DataFrame], now: DataFrame, coded: DataFrame, root: int) -> DataFrame:
+    """Tiles of a step's frames: those of the frame before with the coded blocks laid over them."""
+    earlier = reduce(DataFrame.unionByName, store)
+    before = store[-1].withColumnRenamed("f", "prev_f")
+    base = now.select("video_id", "f", "prev_f").join(before, ["video_id", "prev_f"]).drop("prev_f")
+    return tiles.painted(base, rebuild.rebuilt_blocks(transform.decode_blocks(coded), earlier, root, root), root)
+
+
+def _smoothed(t: DataFrame, vectors: DataFrame, root: int) -> DataFrame:
+    return tiles.with_luma(t, rebuild.deblock(tiles.to_planes(t, root)[0], vectors), root)
+
+
+def decode(pixels: DataFrame, coded: DataFrame, cut: Callable[[DataFrame], DataFrame] = write, smooth: bool = False, root: int = 32) -> DataFrame:
+    """Tiles (video_id, f, tx, ty, ym, um, vm) of all frames from start frames and coded blocks; ``pixels`` names the frames.
+
+    A step rebuilds frame k of every video.  It reads the last four steps'
+    tables only, so the work of a step doesn't grow with the length of a video.
+    """
+    index = cut(frame_index(coded.select("video_id", "f").unionByName(pixels.select("video_id", "f"))))
+    coded = cut(coded)
+    first = pixels.join(index.where("n = 0").select("video_id", "f"), ["video_id", "f"], "left_semi")
+    out = [cut(tiles.frame_tiles(first, root).select(*tiles.TILE, "ym", "um", "vm"))]
     for n in range(1, (index.agg(F.max("n")).first()[0] or 0) + 1):
-        luma, chroma = _painted(y, c, vectors, levels, index, n)
-        if smooth:
-            luma = rebuild.deblock(luma, vectors.join(index.where(F.col("n") == n).select("video_id", "f"), ["video_id", "f"]))
-        y, c = y.unionByName(cut(luma)), c.unionByName(cut(chroma))
-    return y, c
+        now = index.where(F.col("n") == n)
+        mine = coded.join(now.select("video_id", "f"), ["video_id", "f"], "left_semi")
+        made = _step(out[-KEPT:], now, mine, root)
+        out.append(cut(_smoothed(made, mine, root) if smooth else made))
+    return reduce(DataFrame.unionByName, out)
+
 
+def encode_closed_loop(
+    pixels: DataFrame, cut: Callable[[DataFrame], DataFrame] = write, smooth: bool = True, root: int = 32, threshold: int = 45, window: int | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Frame-stepped encode against rebuilt references: (vectors, coded, frame_stats, rebuilt tiles).
 
-def encode_closed_loop(pixels: DataFrame, cut: Callable[[DataFrame], DataFrame], smooth: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Frame-stepped encode against rebuilt references: (vectors, levels, frame_stats)."""
+    Source tiles are written once; a step reads its own frames and the last
+    four steps' rebuilt tables.
+    """
     index = cut(frame_index(pixels))
-    y, c = planes.luma(pixels), planes.chroma(pixels)
-    first = index.where("n = 0").select("video_id", "f")
-    ry, rc = cut(y.join(first, ["video_id", "f"])), cut(c.join(first, ["video_id", "f"]))
+    source = _numbered(tiles.with_leaves(tiles.frame_tiles(pixels, root), root, threshold), index, cut)
+    rebuilt = [cut(source.where("n = 0").select(*tiles.TILE, "ym", "um", "vm"))]
     found, kept, left = [], [], []
     for n in range(1, (index.agg(F.max("n")).first()[0] or 0) + 1):
-        now = index.where(F.col("n") == n).select("video_id", "f")
-        ty, tc = ry.unionByName(y.join(now, ["video_id", "f"])), rc.unionByName(c.join(now, ["video_id", "f"]))
-        changed = cut(blocks.changed_blocks(ty, tc).join(now, ["video_id", "f"], "left_semi"))
-        vectors = cut(motion.motion_search(changed, ty, tc))
-        levels = cut(transform.encode_residuals(transform.residuals(vectors, ty, tc)))
-        luma, chroma = _painted(ry, rc, vectors, levels, index, n)
-        luma = rebuild.deblock(luma, vectors) if smooth else luma
-        ry, rc = ry.unionByName(cut(luma)), rc.unionByName(cut(chroma))
+        now, mine = index.where(F.col("n") == n), source.where(F.col("n") == n)
+        planes = [t.select(*tiles.TILE, "ym", "um", "vm") for t in (*rebuilt[-KEPT:], mine)]
+        both = reduce(DataFrame.unionByName, planes)
+        changed = cut(tiles.changed_leaves(mine, rebuilt[-1], now, root))
+        refs = motion.reference_pairs(both, KEPT, index).join(now.select("video_id", "f"), ["video_id", "f"], "left_semi")
+        costs = motion.match_cost(changed, refs, both, most=root, size=root)
+        if window is not None:
+            costs = costs.unionByName(motion.pattern_search(changed, both, cut, window, KEPT, root, root, refs))
+        vectors = cut(motion.as_vectors(motion.best_match(costs), refs))
+        coded = cut(transform.code_blocks(transform.residual_blocks(vectors, both, root, root)))
+        made = _step(rebuilt[-KEPT:], now, coded, root)
+        rebuilt.append(cut(_smoothed(made, vectors, root) if smooth else made))
         found.append(vectors)
-        kept.append(levels)
+        kept.append(coded)
         left.append(motion.uncoded_blocks(changed, vectors))
+    if not found:
+        raise ValueError("no video has a second frame")
     all_of = partial(reduce, DataFrame.unionByName)
-    return all_of(found), all_of(kept), stats.frame_stats(all_of(found), all_of(left))
+    return all_of(found), all_of(kept), stats.frame_stats(all_of(found), all_of(left)), all_of(rebuilt)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as fn
-from .operators import blocks, motion, planes, rebuild, records, stats, transform
+from .operators import blocks, motion, planes, rebuild, records, stats, tiles, transform
 from .plans import codec
 from .sources import fixtures, frames
+from .sources.shared import cut
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -71,17 +72,21 @@ def part_index(px):
 
 @query
 def pack_parts(px):
-    vectors, levels, _ = codec.encode(px)
-    packed = records.pack_parts(vectors, levels)
-    return packed.select("video_id", "f", F.hex("payload").alias("payload"), F.array_join(F.col("offsets").cast("array<string>"), ",").alias("offsets"))
+    packed = records.pack_parts(codec.encode(px)[1])
+    return packed.select("video_id", "f", F.hex("payload").alias("payload"))
 
 
 @query
 def unpack_parts(px):
-    vectors, levels, _ = codec.encode(px)
-    got, coded = records.unpack_parts(records.pack_parts(vectors, levels))
-    total = coded.groupBy("video_id", "f").agg(F.sum(F.expr("level * (v * 8 + u + 1)")).alias("level_sum"))
-    return got.groupBy("video_id", "f").agg(F.count("*").alias("n"), F.sum(F.expr("pos_x + 64 * pos_y + 4096 * (span_x + 8) + 65536 * (span_y + 8) + 1048576 * ref")).alias("mark")).join(total, ["video_id", "f"])
+    """Every vector and a sum over its levels, back from payloads alone."""
+    got = records.unpack_parts(records.pack_parts(codec.encode(px)[1]))
+    total = "CAST(aggregate(transform(concat(ly, lu, lv), (l, i) -> l * (i + 1)), 0L, (t, l) -> t + l) AS BIGINT) AS level_sum"
+    return got.selectExpr("video_id", "f", "x", "y", "size", "pos_x", "pos_y", "span_x", "span_y", "ref", total)
+
+
+@query
+def packing_ratio(px):
+    return stats.packing_ratio(codec.encode(px)[0], px)
 
 
 @query
@@ -170,17 +175,34 @@ def quadtree_leaves(px):
 
 @query
 def mosaic(px):
-    return blocks.mosaic(px, blocks.quadtree(px))
+    return blocks.mosaic(px)
+
+
+def _grid(px):
+    """Tiles cut into 8x8 blocks, written once."""
+    return cut(tiles.grid(tiles.frame_tiles(px)))
+
+
+def _by_eight(df):
+    """Block numbers in place of pixels."""
+    at = [F.expr(f"CAST({c} div 8 AS INT) AS b{c}") for c in "xy"]
+    return df.select("video_id", "f", *at, *[c for c in df.columns if c not in ("video_id", "f", "x", "y", "size")])
+
+
+@query
+def changed_leaves(px):
+    """Leaves of the partition, of any size, that differ from the frame before."""
+    return tiles.changed_leaves(cut(tiles.with_leaves(tiles.frame_tiles(px))))
 
 
 @query
 def block_mse(px):
-    return blocks.block_change(planes.luma(px), planes.chroma(px))
+    return _by_eight(tiles.block_change(_grid(px)))
 
 
 @query
 def changed_blocks(px):
-    return blocks.changed_blocks(planes.luma(px), planes.chroma(px))
+    return _by_eight(tiles.changed_leaves(_grid(px)))
 
 
 @query
@@ -198,9 +220,19 @@ def tile_blocks(px):
 
 
 def _search(px):
-    y, c = planes.luma(px), planes.chroma(px)
-    changed = blocks.changed_blocks(y, c)
-    return y, c, changed, motion.candidates(changed, motion.reference_pairs(px), motion.frame_ends(y))
+    t = _grid(px)
+    changed = tiles.changed_leaves(t)
+    return t, changed, motion.reference_pairs(t)
+
+
+def _costs(px):
+    t, changed, refs = _search(px)
+    return motion.match_cost(changed, refs, t, most=8)
+
+
+def _vectors(px):
+    t, changed, _ = _search(px)
+    return t, changed, motion.motion_search(changed, t, most=8)
 
 
 @query
@@ -210,37 +242,41 @@ def reference_pairs(px):
 
 @query
 def search_candidates(px):
-    return _search(px)[3]
+    t, changed, refs = _search(px)
+    return _by_eight(motion.candidates(changed, refs, motion.frame_ends(t)))
 
 
 @query
 def match_cost(px):
-    y, c, _, found = _search(px)
-    return motion.match_cost(found, y, c)
+    return _by_eight(_costs(px))
 
 
 @query
 def best_match(px):
-    y, c, _, found = _search(px)
-    return motion.best_match(motion.match_cost(found, y, c))
+    return _by_eight(motion.best_match(_costs(px)))
 
 
 @query
 def top_k_matches(px):
-    y, c, _, found = _search(px)
-    return motion.top_k_matches(motion.match_cost(found, y, c), 3)
+    return _by_eight(motion.top_k_matches(_costs(px), 3))
 
 
 @query
 def motion_search(px):
-    y, c, changed, _ = _search(px)
-    return motion.motion_search(changed, y, c)
+    return _vectors(px)[2]
+
+
+@query
+def pattern_search(px):
+    """The frontier of hexagons within four pixels of every changed leaf."""
+    t = cut(tiles.with_leaves(tiles.frame_tiles(px)))
+    return motion.pattern_search(cut(tiles.changed_leaves(t)), t, cut, window=4)
 
 
 @query
 def uncoded_blocks(px):
-    y, c, changed, _ = _search(px)
-    return motion.uncoded_blocks(changed, motion.motion_search(changed, y, c).where("cost < 64000000"))
+    _, changed, vectors = _vectors(px)
+    return _by_eight(motion.uncoded_blocks(changed, vectors.where("cost < 64000000")))
 
 
 @query
@@ -294,6 +330,12 @@ def level_histogram(t):
     return transform.level_histogram(q)
 
 
+@tile_query
+def zero_share(t):
+    q = transform.quantize(transform.dct2d(t, ["tile"], 8), "Y", 8).withColumn("chan", F.lit("Y"))
+    return transform.zero_share(q)
+
+
 @tile_query
 def level_overflow(t):
     wide = t.withColumn("val", F.col("val") * 40)
@@ -301,19 +343,32 @@ def level_overflow(t):
 
 
 def _residual(px):
-    y, c, changed, _ = _search(px)
-    vectors = motion.motion_search(changed, y, c)
-    return y, c, vectors, transform.residuals(vectors, y, c)
+    t, _, vectors = _vectors(px)
+    vectors = cut(vectors)
+    return t, vectors, transform.residual_blocks(vectors, t, most=8)
 
 
 @query
 def residual_deadzone(px):
-    return _residual(px)[3]
+    rows = _by_eight(transform.residuals(_residual(px)[2]))
+    return rows.withColumnsRenamed({"i": "x", "j": "y"})
 
 
 @query
 def encode_residuals(px):
-    return transform.encode_residuals(_residual(px)[3])
+    return _by_eight(transform.levels(transform.code_blocks(_residual(px)[2]))).drop("sub")
+
+
+@query
+def leaf_residuals(px):
+    """Levels of blocks of every size, in 8x8 parts or whole blocks of 4."""
+    return transform.levels(codec.encode(px)[1])
+
+
+@query
+def leaf_overflow(px):
+    """Levels and spans that seven bits can't hold."""
+    return transform.record_overflow(codec.encode(px)[1])
 
 
 @query
@@ -326,14 +381,27 @@ def payload_bytes(px):
 
 @query
 def reconstruct(px):
-    y, _, vectors, d = _residual(px)
-    return rebuild.reconstruct(vectors, y, d)
+    _, vectors, d = _residual(px)
+    return rebuild.reconstruct(vectors, planes.luma(px), transform.residuals(d))
 
 
 @query
 def reconstruct_one(px):
-    y, _, vectors, d = _residual(px)
-    return rebuild.reconstruct_step(y, vectors, d, frames.frame_index(px))
+    _, vectors, d = _residual(px)
+    return rebuild.reconstruct_step(planes.luma(px), vectors, transform.residuals(d), frames.frame_index(px))
+
+
+@query
+def decode_open_loop(px):
+    """Every frame rebuilt, step by step, from start frames and coded leaves: a checksum of each tile row."""
+    out = tiles.to_planes(codec.decode(px, codec.encode(px)[1]))[0]
+    return out.groupBy("video_id", "f", "y").agg(F.sum(F.expr("ym * (x + 1)")).alias("mark"), F.count("*").alias("n"))
+
+
+@query
+def encode_closed_loop(px):
+    """Statistics of the frame-stepped encode against rebuilt references."""
+    return codec.encode_closed_loop(px)[2].select("video_id", "f", "n_vectors", "area", F.round("mean_error", 6).alias("mean_error"), "n_uncoded")
 
 
 @query
@@ -350,21 +418,25 @@ def patch_union(px):
 
 @query
 def edge_neighbours(px):
-    y, _, vectors, _ = _residual(px)
+    y, vectors = planes.luma(px), _vectors(px)[2]
     e = rebuild.edge_neighbours(y, vectors, False)
     return e.select("video_id", "f", "ex", "ey", *[F.floor(F.col(n) * 1000 + 0.5).alias(n) for n in ("p2", "p1", "p0", "q0", "q1", "q2")])
 
 
 @query
 def deblock_columns(px):
-    y, _, vectors, _ = _residual(px)
-    return rebuild.deblock_pass(y, vectors, False)
+    return rebuild.deblock_pass(planes.luma(px), cut(_vectors(px)[2]), False)
 
 
 @query
 def deblock_rows(px):
-    y, _, vectors, _ = _residual(px)
-    return rebuild.deblock_pass(y, vectors, True)
+    return rebuild.deblock_pass(planes.luma(px), cut(_vectors(px)[2]), True)
+
+
+@query
+def deblock_both(px):
+    """Column edges first, then row edges on what that gives."""
+    return rebuild.deblock(cut(planes.luma(px)), cut(_vectors(px)[2]))
 
 
 # statistics
@@ -381,17 +453,34 @@ def running_mean_error(px):
     return stats.running_mean_error(codec.encode(px)[2])
 
 
+def _coded(px, **how):
+    """Statistics, sizes and level totals of every coded frame."""
+    vectors, coded, s = codec.encode(px, **how)
+    levels = "flatten(array(ly, lu, lv))"
+    sums = coded.groupBy("video_id", "f").agg(
+        F.countDistinct("size").alias("n_sizes"),
+        F.sum(F.expr(f"size({levels})")).cast("long").alias("n_levels"),
+        F.sum(F.expr(f"aggregate({levels}, 0L, (t, l) -> t + l)")).cast("long").alias("level_sum"),
+        F.sum(F.expr(f"aggregate({levels}, 0L, (t, l) -> t + abs(l))")).cast("long").alias("level_abs"),
+    )
+    return s.select("video_id", "f", "n_vectors", "area", F.round("mean_error", 6).alias("mean_error"), "n_uncoded").join(sums, ["video_id", "f"])
+
+
 @query
 def encode_open_loop(px):
-    """Statistics and level totals of every coded frame."""
-    vectors, levels, s = codec.encode(px)
-    sums = levels.groupBy("video_id", "f").agg(F.count("*").alias("n_levels"), F.sum("level").cast("long").alias("level_sum"), F.sum(F.abs("level")).cast("long").alias("level_abs"))
-    return s.select("video_id", "f", "n_vectors", "area", "n_uncoded").join(sums, ["video_id", "f"])
+    return _coded(px)
+
+
+@query
+def encode_pattern(px):
+    """The encode with the frontier of hexagons before the small window."""
+    return _coded(px, window=4)
 
 
 @query
 def changed_per_frame(px):
-    """Changed blocks of every frame that has a predecessor."""
-    changed = blocks.changed_blocks(planes.luma(px), planes.chroma(px)).groupBy("video_id", "f").agg(F.count("*").alias("n"))
-    every = frames.frame_index(px).where("prev_f IS NOT NULL").select("video_id", "f")
+    """Changed 8x8 blocks of every frame that has a predecessor."""
+    t = _grid(px)
+    changed = tiles.changed_leaves(t).groupBy("video_id", "f").agg(F.count("*").alias("n"))
+    every = frames.frame_index(t).where("prev_f IS NOT NULL").select("video_id", "f")
     return every.join(changed, ["video_id", "f"], "left").select("video_id", "f", F.coalesce("n", F.lit(0)).cast("long").alias("n_changed"))

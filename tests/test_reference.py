@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from framewright import oracle
 from framewright.functions import scalars as fn
-from framewright.operators import blocks, motion, planes, rebuild, records, transform
+from framewright.operators import blocks, motion, planes, rebuild, records, tiles, transform
 from framewright.plans import codec
 from framewright.sources import fixtures, frames
 from framewright.streaming import changes
@@ -37,7 +37,7 @@ def rows(df, *keys):
     return sorted(map(tuple, df.select(*keys).collect()))
 
 
-@pytest.mark.parametrize("name", ["changed_blocks", "motion_search", "quadtree_leaves", "pack_parts", "unpack_parts", "encode_residuals", "reconstruct_one", "deblock_columns", "frame_gaps"])
+@pytest.mark.parametrize("name", ["changed_blocks", "changed_leaves", "motion_search", "pattern_search", "encode_pattern", "quadtree_leaves", "mosaic", "pack_parts", "unpack_parts", "leaf_residuals", "encode_residuals", "reconstruct_one", "deblock_columns", "frame_gaps", "frame_stats"])
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
     for t in ("supplier", "embeddings"):
@@ -77,42 +77,132 @@ def test_transform_and_back(spark):
     assert rows(blocks.merge_subtiles(four, 4), "tile", "x", "y", "val") == rows(t, "tile", "x", "y", "val")
 
 
-def test_pack_and_unpack(px):
-    vectors, levels, _ = codec.encode(px)
-    got, coded = records.unpack_parts(records.pack_parts(vectors, levels))
-    cols = ["video_id", "f", "pos_x", "pos_y", "span_x", "span_y", "ref", "size"]
-    assert rows(got, *cols) == rows(vectors, *cols)
-    small = levels.where("abs(level) <= 127")
-    assert rows(coded, "video_id", "f", "bx", "by", "chan", "v", "u", "level") == rows(small, "video_id", "f", "bx", "by", "chan", "v", "u", "level")
-
-
-def test_static_videos_have_no_vectors(px):
-    assert codec.encode(px.where("video_id = 0"))[0].count() == 0
-
-
-def test_pattern_search_never_costs_more_than_staying(px, cut):
-    y, c = planes.luma(px), planes.chroma(px)
-    changed = blocks.changed_blocks(y, c).where("f <= 2")
-    stay = motion.best_match(motion.match_cost(motion.candidates(changed, motion.reference_pairs(px), motion.frame_ends(y), 0, 0), y, c))
-    found = motion.pattern_search(changed, y, c, cut)
-    both = stay.selectExpr("video_id", "f", "bx", "by", "cost AS c0").join(found, ["video_id", "f", "bx", "by"])
-    assert both.count() == changed.count() and both.where("cost > c0").count() == 0
+@pytest.fixture(scope="session")
+def encoded(px):
+    vectors, coded, stats = codec.encode(px)
+    return vectors, coded.persist(), stats
 
 
-def test_decode_follows_encode(px, cut):
-    small = px.where("video_id = 1 AND f <= 2")
-    vectors, levels, stats = codec.encode_closed_loop(small, cut, smooth=False)
-    luma, _ = codec.decode(small.where("f = 0"), vectors, levels, cut)
-    worst = luma.withColumnRenamed("ym", "got").join(planes.luma(small), ["video_id", "f", "x", "y"]).agg(F.count("*"), F.max(F.abs(F.col("got") - F.col("ym")))).first()
-    assert worst[0] == 3 * 1024 and worst[1] < 128_000 and stats.count() == 2
+def test_pack_and_unpack(encoded):
+    vectors, coded, _ = encoded
+    got = records.unpack_parts(records.pack_parts(coded))
+    assert {r.size for r in got.select("size").distinct().collect()} >= {4, 8, 16}
+    cols = ["video_id", "f", "pos_x", "pos_y", "span_x", "span_y", "ref", "size"]
+    assert rows(got, *cols) == rows(vectors, *cols)
+    wrap = lambda df: rows(df.selectExpr("video_id", "f", "x", "y", *[f"transform({c}, l -> sign(l) * (abs(l) & 127)) AS {c}" for c in ("ly", "lu", "lv")]), "video_id", "f", "x", "y", "ly", "lu", "lv")
+    assert wrap(got) == wrap(coded)
+
+
+@pytest.mark.parametrize("payload", ["0100", "01000000000000120000", "01000000000000FF"])
+def test_broken_payloads_are_refused(spark, payload):
+    part = spark.createDataFrame([(1, 0, bytearray.fromhex(payload))], "video_id long, f int, payload binary")
+    with pytest.raises(Exception, match="no record at byte 1"):
+        records.unpack_parts(part).collect()
+
+
+def test_levels_past_seven_bits_wrap(spark):
+    one = spark.createDataFrame([(1, 1, 0, 4, 8, 8, 0, 0, 8, 8, 4, 0, [130, -130] + [0] * 14, [0] * 4, [0] * 4)], "video_id long, f int, ref_f int, ref int, pos_x int, pos_y int, span_x int, span_y int, x int, y int, size int, cost long, ly array<int>, lu array<int>, lv array<int>")
+    assert records.unpack_parts(records.pack_parts(one)).first().ly[:2] == [2, -2]
+    assert transform.record_overflow(one).first()[2:] == (24, 2, 2, 0)
+
+
+def test_static_videos_have_no_vectors(px, cut):
+    assert codec.encode(px.where("video_id = 0"), cut=cut)[0].count() == 0
+    one = codec.encode(px.where("f = 0"), cut=cut)  # a video of one frame
+    assert one[0].count() == one[1].count() == one[2].count() == 0
+
+
+def kernel_levels(d, m, quant):
+    k = np.arange(m)
+    w = np.sqrt(np.where(k[:, None] == 0, 1, 2) / m) * np.cos((2 * k[None] + 1) * k[:, None] * np.pi / (2 * m))
+    return np.floor(np.round(w @ (d.T / 1000 - 128) @ w.T, 6) / np.array(quant) + 0.5).astype(int)  # rows of d are y
+
+
+def test_levels_and_back_equal_a_numpy_kernel(px, encoded, cut):
+    vectors, _, _ = encoded
+    d = transform.residual_blocks(vectors, cut(tiles.frame_tiles(px))).persist()
+    got = {(r.video_id, r.f, r.x, r.y): r for r in transform.code_blocks(d).collect()}
+    back = {(r.video_id, r.f, r.x, r.y): r for r in transform.decode_blocks(transform.code_blocks(d)).collect()}
+    for r in d.collect():
+        for a, name, chan, half in ((r.dy, "y", "Y", 1), (r.du, "u", "C", 2), (r.dv, "v", "C", 2)):
+            side, m = r.size // half, (8 if chan == "Y" else 4) // (2 if r.size == 4 else 1)
+            block, want, lost = np.array(a, float).reshape(side, side), [], []
+            for i in range(0, side, m):
+                for j in range(0, side, m):
+                    want += kernel_levels(block[j : j + m, i : i + m], m, transform.QUANT[chan, m]).ravel().tolist()
+            assert list(got[r.video_id, r.f, r.x, r.y]["l" + name]) == want
+            lost = np.abs(np.array(back[r.video_id, r.f, r.x, r.y]["d" + name]) - np.array(a))
+            assert lost.max() <= 1000 * sum(map(sum, transform.QUANT[chan, m])) / m  # half a step of each level, at most
+
+
+def test_search_equals_a_numpy_kernel(px, encoded):
+    frame = {}
+    for r in px.selectExpr("video_id", "f", "x", "y", "299 * r + 587 * g + 114 * b AS ym").collect():
+        frame.setdefault((r.video_id, r.f), np.zeros((32, 32), np.int64))[r.y, r.x] = r.ym
+    cells = {}
+    for r in planes.chroma(px).collect():
+        cells.setdefault((r.video_id, r.f), np.zeros((2, 16, 16), np.int64))[:, r.cy, r.cx] = r.um, r.vm
+    for v in encoded[0].collect():
+        x, y, s, best = v.pos_x + v.span_x, v.pos_y + v.span_y, v.size, []
+        for ref in range(max(0, v.f - 4), v.f):
+            for dx in range(-2, 2):
+                for dy in range(-2, 2):
+                    if 0 <= x + dx <= 32 - s and 0 <= y + dy <= 32 - s:
+                        a = frame[v.video_id, v.f][y : y + s, x : x + s] - frame[v.video_id, ref][y + dy : y + dy + s, x + dx : x + dx + s]
+                        h, cx, cy = s // 2, (x + dx) // 2, (y + dy) // 2
+                        c = cells[v.video_id, v.f][:, y // 2 : y // 2 + h, x // 2 : x // 2 + h] - cells[v.video_id, ref][:, cy : cy + h, cx : cx + h]
+                        best.append(((a * a).sum() + 4 * (c * c).sum(), ref, dy, dx))
+        assert min(best) == (v.cost, v.ref_f, -v.span_y, -v.span_x)
+
+
+def test_equal_references_take_the_older_one(spark, px, cut):
+    """Frames 0 and 1 are alike, frame 2 shows the object moved."""
+    two = px.where("video_id = 1 AND f IN (0, 3)").selectExpr("video_id", "CASE WHEN f = 3 THEN 2 ELSE 0 END AS f", "x", "y", "r", "g", "b")
+    three = two.unionByName(two.where("f = 0").withColumn("f", F.lit(1)))
+    found = codec.encode(three, cut=cut)[0]
+    assert {(r.f, r.ref_f, r.ref) for r in found.select("f", "ref_f", "ref").distinct().collect()} == {(2, 0, 4)}
+
+
+def test_frontier_never_costs_more_than_staying(px, cut):
+    t = cut(tiles.with_leaves(tiles.frame_tiles(px)))
+    changed = cut(tiles.changed_leaves(t).where("f <= 2"))
+    refs = motion.reference_pairs(px)
+    cols = ["video_id", "f", "x", "y", "size", "ref_f"]
+    found = motion.pattern_search(changed, t, cut, window=48).persist()
+    stay = motion.match_cost(changed, refs, t, 0, 0).withColumnRenamed("cost", "c0")
+    both = stay.drop("dx", "dy").join(found, cols)
+    assert both.count() == changed.join(refs, ["video_id", "f"]).count() == found.count() and both.where("cost > c0").count() == 0
+    whole = motion.match_cost(changed, refs, t, -31, 31).groupBy(*cols).agg(F.min("cost").alias("least"))
+    assert found.join(whole, cols).where("cost < least").count() == 0
+    both = motion.combined_search(changed, t, cut, window=4)
+    small = motion.motion_search(changed, t)
+    at = lambda df, c: motion.targets(df).select("video_id", "f", "x", "y", F.col("cost").alias(c))
+    assert at(both, "a").join(at(small, "b"), ["video_id", "f", "x", "y"]).where("a > b").count() == 0
+
+
+def test_closed_loop_is_what_decode_rebuilds(px, cut):
+    small = px.where("video_id IN (1, 2) AND f <= 2")
+    vectors, coded, stats, rebuilt = codec.encode_closed_loop(small, cut, smooth=False)
+    again = codec.decode(small.where("f = 0"), coded, cut)
+    cols = ["video_id", "f", "tx", "ty", "ym", "um", "vm"]
+    assert rows(again, *cols) == rows(rebuilt, *cols) and again.count() == 6
+    # the first step has source frames as references in both kinds of encode
+    cols = ["video_id", "f", "ref_f", "pos_x", "pos_y", "span_x", "span_y", "size", "cost"]
+    assert rows(vectors.where("f = 1"), *cols) == rows(codec.encode(small, cut=cut)[0].where("f = 1"), *cols)
+    # rebuilt frames lie nearer to the source than the frame before does
+    luma = tiles.to_planes(rebuilt)[0].withColumnRenamed("ym", "got").join(planes.luma(small), ["video_id", "f", "x", "y"])
+    before = planes.luma(small).selectExpr("video_id", "f + 1 AS f", "x", "y", "ym AS y0")
+    near, far = luma.join(before, ["video_id", "f", "x", "y"]).agg(F.avg(F.abs(F.col("got") - F.col("ym"))), F.avg(F.abs(F.col("y0") - F.col("ym")))).first()
+    assert near < far / 2 and stats.count() == 4
 
 
 def test_smoothing_a_step(spark):
     luma = spark.createDataFrame([(1, 0, x, y, (60 if x < 8 else 70) * 1000) for x in range(16) for y in range(16)], "video_id long, f int, x int, y int, ym long")
     vectors = spark.createDataFrame([(1, 0, 8, 8, 0, 0, 8)], "video_id long, f int, pos_x int, pos_y int, span_x int, span_y int, size int")
     got = {(r.x, r.y): r.ym for r in rebuild.deblock(luma, vectors).collect()}
-    assert [got[x, 10] // 1000 for x in range(5, 11)] == [60, 62, 64, 66, 67, 70] or got[7, 10] < got[8, 10]
-    assert got[7, 10] > 60_000 and got[8, 10] < 70_000 and got[7, 3] == 60_000
+    # p0 and q0 move by ((70 - 60) * 4 + (60 - 70) + 4) >> 3 = 4; the outer ones by (60 + 65 - 120) >> 1 = 2 and (70 + 65 - 140) >> 1 = -3
+    assert [got[x, 12] // 1000 for x in range(5, 11)] == [60, 62, 64, 66, 67, 70]
+    assert [got[x, 3] // 1000 for x in range(5, 11)] == [60, 60, 60, 70, 70, 70]
 
 
 def test_scan_bitmaps(spark, tmp_path):
@@ -144,7 +234,8 @@ def test_stream_equals_batch(spark, px, tmp_path):
     assert q.awaitTermination(120)
     cols = ["video_id", "f", "bx", "by"]
     got = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
-    assert rows(got, *cols) == rows(blocks.changed_blocks(planes.luma(small), planes.chroma(small)), *cols)
+    batch = tiles.changed_leaves(tiles.grid(tiles.frame_tiles(small))).selectExpr("video_id", "f", "CAST(x div 8 AS INT) AS bx", "CAST(y div 8 AS INT) AS by")
+    assert rows(got, *cols) == rows(batch, *cols)
     q = changes.stream_sink(changes.stream_history(stream), str(tmp_path / "out2"), str(tmp_path / "ck2"))
     assert q.awaitTermination(120)
     past = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out2"))
