@@ -57,6 +57,7 @@ CTES = {
     "l8": "SELECT tile, v, u, CAST(floor(coef / q + 0.5) AS INT) AS level FROM d8 JOIN qy8 USING (v, u)",
     "fi": "SELECT video_id, f, CAST(row_number() OVER w - 1 AS INT) AS n, lag(f) OVER w AS prev_f FROM (SELECT DISTINCT video_id, f FROM px) WINDOW w AS (PARTITION BY video_id ORDER BY f)",
     "luma": "SELECT video_id, f, x, y, CAST(299 * r + 587 * g + 114 * b AS BIGINT) AS ym FROM px",
+    "luma_now": "SELECT l.*, prev_f FROM luma l JOIN fi ON l.video_id = fi.video_id AND l.f = fi.f WHERE prev_f IS NOT NULL",
     "chroma": """SELECT video_id, f, x // 2 AS cx, y // 2 AS cy,
         CAST(floor(sum((128000000 - 168736 * r - 331264 * g + 500000 * b) * w) / 8000.0) AS BIGINT) AS um,
         CAST(floor(sum((128000000 + 500000 * r - 418688 * g - 81312 * b) * w) / 8000.0) AS BIGINT) AS vm
@@ -111,18 +112,20 @@ CTES = {
     # blocks of the partition's sizes
     "leaf_y": "SELECT l.video_id, l.f, l.x, l.y, l.size, p.x AS px, p.y AS py, p.x - l.x AS i, p.y - l.y AS j, p.ym FROM luma p JOIN leaves l ON p.video_id = l.video_id AND p.f = l.f AND p.x // l.size * l.size = l.x AND p.y // l.size * l.size = l.y",
     "leaf_c": "SELECT l.video_id, l.f, l.x, l.y, l.size, p.cx AS px, p.cy AS py, p.cx - l.x // 2 AS i, p.cy - l.y // 2 AS j, p.um, p.vm FROM chroma p JOIN leaves l ON p.video_id = l.video_id AND p.f = l.f AND 2 * p.cx // l.size * l.size = l.x AND 2 * p.cy // l.size * l.size = l.y",
-    "lchange": """SELECT * FROM (SELECT a.video_id, a.f, a.x, a.y, a.size, sum((a.ym - p.ym) * (a.ym - p.ym)) AS sy, count(*) AS ny FROM leaf_y a JOIN fi ON a.video_id = fi.video_id AND a.f = fi.f
-            JOIN luma p ON p.video_id = a.video_id AND p.f = fi.prev_f AND p.x = a.px AND p.y = a.py GROUP BY ALL)
-        JOIN (SELECT a.video_id, a.f, a.x, a.y, a.size, sum((a.um - p.um) * (a.um - p.um)) AS su, sum((a.vm - p.vm) * (a.vm - p.vm)) AS sv, count(*) AS nu FROM leaf_c a JOIN fi ON a.video_id = fi.video_id AND a.f = fi.f
-            JOIN chroma p ON p.video_id = a.video_id AND p.f = fi.prev_f AND p.cx = a.px AND p.cy = a.py GROUP BY ALL) USING (video_id, f, x, y, size)""",
+    # one join a step, so that no plan joins a plane with itself first
+    "now_y": "SELECT a.*, prev_f FROM leaf_y a JOIN fi ON a.video_id = fi.video_id AND a.f = fi.f",
+    "now_c": "SELECT a.*, prev_f FROM leaf_c a JOIN fi ON a.video_id = fi.video_id AND a.f = fi.f",
+    "lchange_y": "SELECT a.video_id, a.f, a.x, a.y, a.size, sum((a.ym - p.ym) * (a.ym - p.ym)) AS sy, count(*) AS ny FROM now_y a JOIN luma p ON p.video_id = a.video_id AND p.f = a.prev_f AND p.x = a.px AND p.y = a.py GROUP BY ALL",
+    "lchange_c": "SELECT a.video_id, a.f, a.x, a.y, a.size, sum((a.um - p.um) * (a.um - p.um)) AS su, sum((a.vm - p.vm) * (a.vm - p.vm)) AS sv, count(*) AS nu FROM now_c a JOIN chroma p ON p.video_id = a.video_id AND p.f = a.prev_f AND p.cx = a.px AND p.cy = a.py GROUP BY ALL",
+    "lchange": "SELECT * FROM lchange_y JOIN lchange_c USING (video_id, f, x, y, size)",
     "lchanged": "SELECT video_id, f, x, y, size FROM lchange WHERE sy > 1550000 * ny OR su > 3600000 * nu OR sv > 3600000 * nu",
     **{name: f"""SELECT c.video_id, c.f, x, y, size, ref_f, dx, dy FROM lchanged c JOIN refs USING (video_id, f), (SELECT i - {lo} AS dx FROM {_axis(n)} t(i)), (SELECT i - {lo} AS dy FROM {_axis(n)} t(i))
         WHERE x + dx BETWEEN 0 AND 32 - size AND y + dy BETWEEN 0 AND 32 - size""" for name, lo, n in (("lcand", 2, 4), ("wcand", 4, 9))},
-    **{cost: f"""SELECT video_id, f, x, y, size, ref_f, dx, dy, CAST(sy + 4 * su + 4 * sv AS BIGINT) AS cost FROM
-        (SELECT c.video_id, c.f, c.x, c.y, c.size, ref_f, dx, dy, sum((a.ym - b.ym) * (a.ym - b.ym)) AS sy FROM {cand} c JOIN leaf_y a ON a.video_id = c.video_id AND a.f = c.f AND a.x = c.x AND a.y = c.y AND a.size = c.size
-         JOIN luma b ON b.video_id = c.video_id AND b.f = ref_f AND b.x = a.px + dx AND b.y = a.py + dy GROUP BY ALL)
-        JOIN (SELECT c.video_id, c.f, c.x, c.y, c.size, ref_f, dx, dy, sum((a.um - b.um) * (a.um - b.um)) AS su, sum((a.vm - b.vm) * (a.vm - b.vm)) AS sv FROM {cand} c JOIN leaf_c a ON a.video_id = c.video_id AND a.f = c.f AND a.x = c.x AND a.y = c.y AND a.size = c.size
-         JOIN chroma b ON b.video_id = c.video_id AND b.f = ref_f AND b.cx = (c.x + dx) // 2 + a.i AND b.cy = (c.y + dy) // 2 + a.j GROUP BY ALL) USING (video_id, f, x, y, size, ref_f, dx, dy)""" for cost, cand in (("lcost", "lcand"), ("wcost", "wcand"))},
+    **{f"{n}own_y": f"SELECT c.*, a.px + dx AS rx, a.py + dy AS ry, a.ym AS am FROM {n}cand c JOIN leaf_y a ON a.video_id = c.video_id AND a.f = c.f AND a.x = c.x AND a.y = c.y AND a.size = c.size" for n in "lw"},
+    **{f"{n}own_c": f"SELECT c.*, (c.x + dx) // 2 + a.i AS rx, (c.y + dy) // 2 + a.j AS ry, a.um AS ua, a.vm AS va FROM {n}cand c JOIN leaf_c a ON a.video_id = c.video_id AND a.f = c.f AND a.x = c.x AND a.y = c.y AND a.size = c.size" for n in "lw"},
+    **{f"{n}cost_y": f"SELECT c.video_id, c.f, c.x, c.y, c.size, ref_f, dx, dy, sum((am - ym) * (am - ym)) AS sy FROM {n}own_y c JOIN luma b ON b.video_id = c.video_id AND b.f = ref_f AND b.x = rx AND b.y = ry GROUP BY ALL" for n in "lw"},
+    **{f"{n}cost_c": f"SELECT c.video_id, c.f, c.x, c.y, c.size, ref_f, dx, dy, sum((ua - um) * (ua - um)) AS su, sum((va - vm) * (va - vm)) AS sv FROM {n}own_c c JOIN chroma b ON b.video_id = c.video_id AND b.f = ref_f AND b.cx = rx AND b.cy = ry GROUP BY ALL" for n in "lw"},
+    **{f"{n}cost": f"SELECT video_id, f, x, y, size, ref_f, dx, dy, CAST(sy + 4 * su + 4 * sv AS BIGINT) AS cost FROM {n}cost_y JOIN {n}cost_c USING (video_id, f, x, y, size, ref_f, dx, dy)" for n in "lw"},
     "ring": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT {r} AS radius, i, j FROM {_values(list(ring))} t(i, j)" for r, ring in RINGS.items()) + ")",
     # a round for every block and reference: the ring's cheapest place, then the centre moves or the radius halves
     "hexa": """SELECT video_id, f, x, y, size, ref_f, dx, dy, cost FROM (WITH RECURSIVE walk AS (
@@ -232,7 +235,7 @@ BODIES = {
     "mosaic": "SELECT p.video_id, p.f, p.x, p.y, l.r, l.g, l.b FROM px p JOIN leaves l ON p.video_id = l.video_id AND p.f = l.f AND p.x // l.size * l.size = l.x AND p.y // l.size * l.size = l.y",
     "block_mse": "SELECT * FROM change",
     "changed_blocks": "SELECT * FROM changed",
-    "frame_delta": "SELECT l.video_id, l.f, l.x, l.y, l.ym - p.ym AS d FROM luma l JOIN fi ON l.video_id = fi.video_id AND l.f = fi.f JOIN luma p ON p.video_id = l.video_id AND p.f = fi.prev_f AND p.x = l.x AND p.y = l.y",
+    "frame_delta": "SELECT l.video_id, l.f, l.x, l.y, l.ym - p.ym AS d FROM luma_now l JOIN luma p ON p.video_id = l.video_id AND p.f = l.prev_f AND p.x = l.x AND p.y = l.y",
     "tile_blocks": """SELECT video_id, f, x // 8 AS bx, y // 8 AS by, string_agg(CAST(CASE WHEN x < 30 THEN ym ELSE 0 END AS VARCHAR), ',' ORDER BY x, y) AS plane, CAST(sum(CASE WHEN x < 30 THEN 0 ELSE 1 END) AS INT) AS oob_count FROM luma GROUP BY ALL""",
     "reference_pairs": "SELECT * FROM refs",
     "search_candidates": "SELECT * FROM cand",
