@@ -241,8 +241,8 @@ def offset_costs(asked: DataFrame, refs: DataFrame, most: int, size: int = 32) -
     does not change their order within a block.
 
     Spark joins each block with the tile of its places and cuts the part of it
-    that they cover; numpy takes the squares of such a part at all offsets at
-    once (as expressions of array functions they took 28 CPU seconds for the
+    that they cover; numpy takes the squares of parts of one shape at all
+    offsets at once (as expressions of array functions they took 28 CPU seconds for the
     8,807 blocks and references of sf0.01, mostly in boxed numbers).
     """
     spots = F.expr(f"transform(filter(offsets, o -> x + o.dx >= 0 AND y + o.dy >= 0), o -> named_struct('dx', o.dx, 'dy', o.dy, 'rx', CAST((x + o.dx) div {size} AS INT), 'ry', CAST((y + o.dy) div {size} AS INT)))")
@@ -270,29 +270,37 @@ def _costs(batches: Iterator) -> Iterator:
     for batch in batches:
         video, f, xs, ys, sizes, ref, minx, miny, maxx = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(9))
         dxs, dys, yb, ub, vb, yr, ur, vr = (lists(batch.column(i)) for i in range(9, 17))
-        out: list = []
-        for i in range(batch.num_rows):
-            s, x, y = int(sizes[i]), int(xs[i]), int(ys[i])
-            row = lambda a: a[0][a[1][i] : a[1][i + 1]]  # noqa: B023, E731
-            dx, dy = row(dxs).astype(np.int64), row(dys).astype(np.int64)
-            ok, cost = np.ones(len(dx), bool), np.zeros(len(dx), np.int64)
-            for own, there, n, weight in ((yb, yr, 1, 1), (ub, ur, 2, 4), (vb, vr, 2, 4)):
-                side = s // n
-                block = row(own).reshape(side, side)
-                wide = (int(maxx[i]) + s - 1) // n - int(minx[i]) // n + 1
-                part = row(there).reshape(-1, wide)
-                at = np.lib.stride_tricks.sliding_window_view(part, (side, side))[(y + dy) // n - int(miny[i]) // n, (x + dx) // n - int(minx[i]) // n]
-                has = block != gone
-                ok &= ~((at == gone) & has).any(axis=(1, 2))
-                d = np.where(has, block - at, 0)
-                cost += weight * ((d * d).sum(axis=(1, 2)) * (side * side) // max(1, int(has.sum())))
-            k = int(ok.sum())
-            out.append((np.full((6, k), [[int(v[i])] for v in (video, f, xs, ys, sizes, ref)], np.int64), dx[ok], dy[ok], cost[ok]))
+        keys, out = np.stack([video, f, xs, ys, sizes, ref], axis=1).astype(np.int64), []
+        shape = np.stack([sizes, np.diff(dxs[1]), minx % 2, miny % 2, maxx - minx, np.diff(yr[1])], axis=1)
+        _, kind = np.unique(shape, axis=0, return_inverse=True)
+        kind = kind.reshape(-1)
+        order = np.argsort(kind, kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1) if len(order) else []:
+            s, k = int(sizes[same[0]]), int(shape[same[0], 1])
+            many = max(1, 2_000_000 // (k * s * s))
+            for rows in (same[j : j + many] for j in range(0, len(same), many)):
+                at_row = lambda a, n: a[0][a[1][rows][:, None] + np.arange(n)]  # noqa: B023, E731
+                dx, dy = at_row(dxs, k).astype(np.int64), at_row(dys, k).astype(np.int64)
+                ok, cost = np.ones(dx.shape, bool), np.zeros(dx.shape, np.int64)
+                for own, there, n, weight in ((yb, yr, 1, 1), (ub, ur, 2, 4), (vb, vr, 2, 4)):
+                    side = s // n
+                    block = at_row(own, side * side).reshape(-1, 1, side, side)
+                    wide = (int(maxx[rows[0]]) + s - 1) // n - int(minx[rows[0]]) // n + 1
+                    part = at_row(there, int(there[1][rows[0] + 1] - there[1][rows[0]])).reshape(len(rows), -1, wide)
+                    views = np.lib.stride_tricks.sliding_window_view(part, (side, side), axis=(1, 2))
+                    down = (ys[rows][:, None] + dy) // n - miny[rows][:, None] // n
+                    right = (xs[rows][:, None] + dx) // n - minx[rows][:, None] // n
+                    at = views[np.arange(len(rows))[:, None], down, right]
+                    has = block != gone
+                    ok &= ~((at == gone) & has).any(axis=(2, 3))
+                    d = np.where(has, block - at, 0)
+                    cost += weight * ((d * d).sum(axis=(2, 3)) * (side * side) // np.maximum(1, has.sum(axis=(2, 3))))
+                out.append((np.repeat(keys[rows], ok.sum(axis=1), axis=0), dx[ok], dy[ok], cost[ok]))
         if out:
-            keys = np.concatenate([o[0] for o in out], axis=1)
+            found = np.concatenate([o[0] for o in out]).T
             rest = [np.concatenate([o[j] for o in out]) for j in (1, 2, 3)]
             kinds = [pa.int64(), *[pa.int32()] * 7, pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*keys, *rest], kinds, strict=True)], names=["video_id", "f", "x", "y", "size", "ref_f", "dx", "dy", "cost"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*found, *rest], kinds, strict=True)], names=["video_id", "f", "x", "y", "size", "ref_f", "dx", "dy", "cost"])
 
 
 def window_offsets(lo: int, hi: int):
