@@ -235,6 +235,10 @@ BODIES = {
     "mosaic": "SELECT p.video_id, p.f, p.x, p.y, l.r, l.g, l.b FROM px p JOIN leaves l ON p.video_id = l.video_id AND p.f = l.f AND p.x // l.size * l.size = l.x AND p.y // l.size * l.size = l.y",
     "block_mse": "SELECT * FROM change",
     "changed_blocks": "SELECT * FROM changed",
+    "stream_changed_blocks": "SELECT * FROM changed",
+    "stream_history": "SELECT n.video_id, n.f, coalesce(string_agg(CAST(p.f AS VARCHAR), ',' ORDER BY p.f), '') AS history FROM fi n LEFT JOIN fi p ON p.video_id = n.video_id AND p.n BETWEEN n.n - 4 AND n.n - 1 GROUP BY n.video_id, n.f",
+    "overwrite_table": "SELECT video_id, f, count(*) AS n, CAST(sum((CASE WHEN video_id % 3 = 0 THEN 255 - r ELSE r END) * (x + 32 * y + 1)) AS BIGINT) AS mark FROM px GROUP BY video_id, f",
+    "merge_subtiles": "SELECT tile, x, y, val FROM tiles",
     "frame_delta": "SELECT l.video_id, l.f, l.x, l.y, l.ym - p.ym AS d FROM luma_now l JOIN luma p ON p.video_id = l.video_id AND p.f = l.prev_f AND p.x = l.x AND p.y = l.y",
     "tile_blocks": """SELECT video_id, f, x // 8 AS bx, y // 8 AS by, string_agg(CAST(CASE WHEN x < 30 THEN ym ELSE 0 END AS VARCHAR), ',' ORDER BY x, y) AS plane, CAST(sum(CASE WHEN x < 30 THEN 0 ELSE 1 END) AS INT) AS oob_count FROM luma GROUP BY ALL""",
     "reference_pairs": "SELECT * FROM refs",

@@ -11,7 +11,8 @@ from .functions import scalars as fn
 from .operators import blocks, motion, planes, rebuild, records, stats, tiles, transform
 from .plans import codec
 from .sources import fixtures, frames
-from .sources.shared import cut
+from .sources.shared import cut, own_folder
+from .streaming import changes, sink
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -484,3 +485,47 @@ def changed_per_frame(px):
     changed = tiles.changed_leaves(t).groupBy("video_id", "f").agg(F.count("*").alias("n"))
     every = frames.frame_index(t).where("prev_f IS NOT NULL").select("video_id", "f")
     return every.join(changed, ["video_id", "f"], "left").select("video_id", "f", F.coalesce("n", F.lit(0)).cast("long").alias("n_changed"))
+
+
+# streams and tables
+
+
+def _streamed(px, flow):
+    """What a flow over frames that land in two parts commits: the second run goes on from the first one's state."""
+    spark = px.sparkSession
+    changes.stream_query_settings(spark)
+    folder = own_folder(spark)
+    for part in ("f < 3", "f >= 3"):
+        px.where(part).write.mode("append").parquet(f"{folder}/in")
+        out = flow(changes.stream_frames(spark, f"{folder}/in", px.schema, None))
+        sink.stream_sink(out, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return sink.read_committed(spark, f"{folder}/out", out.schema)
+
+
+@query
+def stream_changed_blocks(px):
+    """Changed 8x8 blocks found by the stream."""
+    return _streamed(px, changes.stream_changed_blocks).where("NOT late").drop("late")
+
+
+@query
+def stream_history(px):
+    """The up to four frames before each frame, by the stream."""
+    found = _streamed(px, changes.stream_history).where("NOT late")
+    return found.select("video_id", "f", F.array_join(F.col("history").cast("array<string>"), ",").alias("history"))
+
+
+@query
+def overwrite_table(px):
+    """A table by video, of which every third video is written again with its red inverted; sums of what is read back."""
+    path = own_folder(px.sparkSession) + "/table"
+    frames.write_table(px, path)
+    frames.write_table(px.where("video_id % 3 = 0").withColumn("r", F.expr("255 - r")), path, whole=False)
+    got = frames.read_table(px.sparkSession, path)
+    return got.groupBy("video_id", "f").agg(F.count("*").alias("n"), F.sum(F.expr("r * (x + 32 * y + 1)")).alias("mark"))
+
+
+@tile_query
+def merge_subtiles(t):
+    """Tiles split to fours and put together again."""
+    return blocks.merge_subtiles(blocks.split_subtiles(t, 4), 4)

@@ -91,11 +91,17 @@ def resize_to_multiple(pixels: DataFrame, multiple: int = 4) -> DataFrame:
     return out.agg(*[F.expr(f"CAST((sum(weight * {c}) + 524288) div 1048576 AS INT) AS {c}") for c in "rgb"]).withColumnsRenamed({"tx": "x", "ty": "y"})
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """One folder per video."""
-    df.write.partitionBy("video_id").mode("overwrite").parquet(path)
+def write_table(df: DataFrame, path: str, whole: bool = True) -> None:
+    """One folder per video; without ``whole`` only the folders of the videos in ``df`` are replaced.
+
+    Rows of a video are dealt to one writing task by AQE's sizes, so that a big
+    table has few files a video and a big video several.
+    """
+    dealt = df.hint("rebalance", "video_id")
+    dealt.write.partitionBy("video_id").option("partitionOverwriteMode", "static" if whole else "dynamic").mode("overwrite").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The written table; a filter on ``video_id`` reads those folders only."""
     df = spark.read.parquet(path)
     return df.withColumn("video_id", F.col("video_id").cast("long"))

@@ -32,11 +32,17 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder of the shared store; it goes when the application ends."""
+    path = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table and go on from it; it goes when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    path = own_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,92 +1,148 @@
-"""Frames as a stream: change detection against the previous frame, bounded history, idempotent sink."""
+"""Frames as a stream: change detection against the previous frame, bounded history.
+
+Both keep their state in RocksDB, which ``stream_query_settings`` switches on
+for a session.  A frame's pixels come in one batch; frames numbered at or below
+the last one seen come out as rows marked ``late`` and change no state.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+IMAGE = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+BLOCK = 8
+
+
+def stream_query_settings(spark: SparkSession) -> None:
+    """State in RocksDB, which arbitrary state needs; states outgrow an executor's heap otherwise."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def stream_frames(spark: SparkSession, path: str, schema: StructType, per_trigger: int | None = 1) -> DataFrame:
+    """Pixel tables as they land; with ``per_trigger`` so many files a batch, else all there are."""
+    source = spark.readStream.schema(schema)
+    return (source if per_trigger is None else source.option("maxFilesPerTrigger", per_trigger)).parquet(path)
+
+
+def stream_images(spark: SparkSession, path: str, per_trigger: int | None = 1) -> DataFrame:
+    """Image files as they land in ``video_id=*`` folders, with the columns of ``scan_frames``."""
+    source = spark.readStream.format("image").schema(IMAGE).option("pathGlobFilter", "*.*")
+    found = (source if per_trigger is None else source.option("maxFilesPerTrigger", per_trigger)).load(f"{path}/video_id=*")
+    return found.select(
+        F.regexp_extract("image.origin", r"video_id=(\d+)", 1).cast("long").alias("video_id"),
+        F.regexp_extract("image.origin", r"(\d+)\.\w+$", 1).cast("int").alias("frame_no"),
+        "image.width", "image.height", F.col("image.nChannels").alias("n_channels"), "image.data",
+    )
+
+
+def _planes(rows: pd.DataFrame, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """Luma (tile x tile) and the two chroma planes (2 x half x half) of a tile in thousandths, -1 outside the frame."""
+    px = np.zeros((3, tile, tile), np.int64)
+    has = np.zeros((tile, tile), bool)
+    y, x = rows.y.to_numpy() % tile, rows.x.to_numpy() % tile
+    has[y, x] = True
+    for k, c in enumerate("rgb"):
+        px[k, y, x] = rows[c].to_numpy()
+    r, g, b = px
+    luma = np.where(has, 299 * r + 587 * g + 114 * b, -1)
+    micro = np.stack([128_000_000 - 168_736 * r - 331_264 * g + 500_000 * b, 128_000_000 + 500_000 * r - 418_688 * g - 81_312 * b]) * has
+    cells = micro[:, ::2, ::2] + micro[:, ::2, 1::2] + 2 * micro[:, 1::2, ::2] + 4 * micro[:, 1::2, 1::2]
+    return luma, np.where(has[::2, ::2], cells // 8000, -1)
+
+
+def _exceeds(now: np.ndarray, before: np.ndarray, limit: int, size: int) -> np.ndarray:
+    """Blocks of ``size`` whose mean square change is above the limit; False where the frame before lacks a pixel."""
+    inside = now >= 0
+    square = np.where(inside, (now - before) ** 2, 0)
+    n = now.shape[-1] // size
+    of_blocks = lambda a: a.reshape(n, size, n, size).sum((1, 3))
+    return (of_blocks(square) > limit * of_blocks(inside)) & (of_blocks(inside & (before < 0)) == 0)
+
+
+class _Changes(StatefulProcessor):
+    """State of a tile: number and planes of its last frame, as bytes of 32-bit numbers."""
+
+    def __init__(self, tile: int) -> None:
+        self.tile = tile
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "f int, luma binary, chroma binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        video, tx, ty = key
+        got = pd.concat(list(rows))
+        half, n, out, before = self.tile // 2, self.tile // BLOCK, [], None
+        last = -1
+        if self.last.exists():
+            last, luma, chroma = self.last.get()
+            before = np.frombuffer(luma, np.int32).reshape(self.tile, self.tile), np.frombuffer(chroma, np.int32).reshape(2, half, half)
+        began = last
+        for f, frame in got.groupby("f", sort=True):
+            if f <= began:
+                out.append((video, int(f), tx * n, ty * n, True))
+                continue
+            now = _planes(frame, self.tile)
+            if before is not None:
+                changed = _exceeds(now[0], before[0], 1_550_000, BLOCK)
+                for plane in (0, 1):
+                    changed |= _exceeds(now[1][plane], before[1][plane], 3_600_000, BLOCK // 2)
+                out += [(video, int(f), int(tx * n + i), int(ty * n + j), False) for j, i in zip(*np.nonzero(changed), strict=True)]
+            last, before = int(f), now
+        if last != began:
+            self.last.update((last, *(p.astype(np.int32).tobytes() for p in before)))
+        yield pd.DataFrame(out, columns=["video_id", "f", "bx", "by", "late"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_changed_blocks(pixels: DataFrame, tile: int = 32) -> DataFrame:
+    """Changed 8x8 blocks (video_id, f, bx, by, late) against the previous frame seen.
+
+    State is kept by tile.  A late frame gives one row a tile, ``late`` being
+    true, at the tile's first block.
+    """
+    keyed = pixels.withColumns({"tx": F.expr(f"CAST(x div {tile} AS INT)"), "ty": F.expr(f"CAST(y div {tile} AS INT)")})
+    return keyed.groupBy("video_id", "tx", "ty").transformWithStateInPandas(
+        _Changes(tile), "video_id long, f int, bx int, by int, late boolean", "Append", "None"
+    )
 
-def stream_frames(spark: SparkSession, path: str, schema: StructType, per_trigger: int = 1) -> DataFrame:
-    """Pixel tables as they land, one file a frame."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
-
-
-def _blocks(pixels: DataFrame, size: int = 8) -> DataFrame:
-    """(video_id, bx, by, f, x, y, r, g, b): pixels keyed by their block."""
-    return pixels.withColumns({"bx": F.expr(f"CAST(x div {size} AS INT)"), "by": F.expr(f"CAST(y div {size} AS INT)")})
-
-
-def _planes(block: pd.DataFrame) -> tuple[list[int], list[int], list[int]]:
-    """Luma thousandths, then U and V cells, of one 8x8 block in raster order."""
-    b = block.sort_values(["y", "x"])
-    r, g, bl = (b[c].astype("int64") for c in "rgb")
-    y = 299 * r + 587 * g + 114 * bl
-    u = 128_000_000 - 168_736 * r - 331_264 * g + 500_000 * bl
-    v = 128_000_000 + 500_000 * r - 418_688 * g - 81_312 * bl
-    w = 1 + (b.x % 2 == 0) * (b.y % 2 == 1) * 1 + (b.x % 2 == 1) * (b.y % 2 == 1) * 3
-    cell = [b.y // 2, b.x // 2]
-    return y.tolist(), ((u * w).groupby(cell).sum() // 8000).tolist(), ((v * w).groupby(cell).sum() // 8000).tolist()
 
+class _History(StatefulProcessor):
+    """State of a video: the list of its last frames' numbers."""
 
-def stream_changed_blocks(pixels: DataFrame) -> DataFrame:
-    """Changed 8x8 blocks (video_id, f, bx, by) against the previous frame seen; the state of a block is its last planes.
+    def __init__(self, keep: int) -> None:
+        self.keep = keep
 
-    Frames at or below the last seen number are dropped and counted in the state.
-    """
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.past = handle.getListState("past", "f int")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frames = pd.concat(list(batches))
-        last, seen, late = (state.get[0], state.get[1:4], state.get[4]) if state.exists else (-1, None, 0)
-        out = []
-        for f, block in sorted(frames.groupby("f"), key=lambda p: p[0]):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        past = [r[0] for r in self.past.get()] if self.past.exists() else []
+        last, out = past[-1] if past else -1, []
+        for f in sorted({int(f) for part in rows for f in part.f.unique()}):
             if f <= last:
-                late += 1
+                out.append((key[0], f, [], True))
                 continue
-            now = _planes(block)
-            if seen is not None:
-                ss = [sum((p - q) ** 2 for p, q in zip(a, b, strict=True)) for a, b in zip(now, seen, strict=True)]
-                if ss[0] > 1_550_000 * len(now[0]) or max(ss[1:]) > 3_600_000 * len(now[1]):
-                    out.append((key[0], int(f), key[1], key[2]))
-            last, seen = int(f), now
-        state.update((last, *seen, late))
-        yield pd.DataFrame(out, columns=["video_id", "f", "bx", "by"])
-
-    return (
-        _blocks(pixels)
-        .groupBy("video_id", "bx", "by")
-        .applyInPandasWithState(step, "video_id long, f int, bx int, by int", "last int, y array<long>, u array<long>, v array<long>, late int", "append", GroupStateTimeout.NoTimeout)
-    )
-
-
-def stream_history(frames: DataFrame, keep: int = 4) -> DataFrame:
-    """For each new frame the up to ``keep`` frames before it: (video_id, f, history, late)."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past, late = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        out = []
-        for f in sorted(set(pd.concat(list(batches)).f.tolist())):
-            if past and f <= past[-1]:
-                late += 1
-                continue
-            out.append((key[0], f, past[-keep:], late))
-            past = (past + [f])[-keep:]
-        state.update((past, late))
+            out.append((key[0], f, list(past), False))
+            past = (past + [f])[-self.keep :]
+        self.past.put([(f,) for f in past])
         yield pd.DataFrame(out, columns=["video_id", "f", "history", "late"])
 
-    return frames.select("video_id", "f").groupBy("video_id").applyInPandasWithState(
-        step, "video_id long, f int, history array<int>, late int", "past array<int>, late int", "append", GroupStateTimeout.NoTimeout
-    )
+    def close(self) -> None:
+        pass
 
 
-def stream_sink(df: DataFrame, path: str, checkpoint: str):
-    """Append every batch under its own number, so that a repeated batch overwrites itself; ends with the input."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_history(frames: DataFrame, keep: int = 4) -> DataFrame:
+    """For each new frame the up to ``keep`` frames before it: (video_id, f, history, late); late ones have no history."""
+    return frames.select("video_id", "f").groupBy("video_id").transformWithStateInPandas(
+        _History(keep), "video_id long, f int, history array<int>, late boolean", "Append", "None"
+    )

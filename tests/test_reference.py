@@ -11,7 +11,6 @@ from framewright.functions import scalars as fn
 from framewright.operators import blocks, motion, planes, rebuild, records, tiles, transform
 from framewright.plans import codec
 from framewright.sources import fixtures, frames
-from framewright.streaming import changes
 
 SF = "/root/testdata/sf0.001"
 
@@ -223,20 +222,3 @@ def test_scan_bitmaps(spark, tmp_path):
 def test_pixels_of_grey_and_transparent_images(spark, channels, data, want):
     image = spark.createDataFrame([(1, 0, 2, 1, channels, bytearray(data))], "video_id long, frame_no int, width int, height int, n_channels int, data binary")
     assert rows(frames.explode_pixels(image), "x", "r", "g", "b") == [(x, *c) for x, c in enumerate(want)]
-
-
-def test_stream_equals_batch(spark, px, tmp_path):
-    small = px.where("video_id = 1").cache()
-    for f in range(6):
-        small.where(F.col("f") == f).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = changes.stream_frames(spark, str(tmp_path / "in"), small.schema)
-    q = changes.stream_sink(changes.stream_changed_blocks(stream), str(tmp_path / "out"), str(tmp_path / "ck"))
-    assert q.awaitTermination(120)
-    cols = ["video_id", "f", "bx", "by"]
-    got = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
-    batch = tiles.changed_leaves(tiles.grid(tiles.frame_tiles(small))).selectExpr("video_id", "f", "CAST(x div 8 AS INT) AS bx", "CAST(y div 8 AS INT) AS by")
-    assert rows(got, *cols) == rows(batch, *cols)
-    q = changes.stream_sink(changes.stream_history(stream), str(tmp_path / "out2"), str(tmp_path / "ck2"))
-    assert q.awaitTermination(120)
-    past = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out2"))
-    assert {r.f: r.history for r in past.collect()}[5] == [1, 2, 3, 4]
