@@ -8,6 +8,7 @@ expressions over these arrays; only whole tiles and their strips move.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,29 +22,59 @@ LEAF = ("video_id", "f", "x", "y", "size")
 def frame_tiles(pixels: DataFrame, size: int = 32) -> DataFrame:
     """(video_id, f, tx, ty, r, g, b, ym, um, vm): ``size`` x ``size`` arrays, chroma half as wide, in thousandths.
 
-    The one shuffle of pixels.  Chroma cells take their pixels in raster order,
-    with weights 1, 1, 2 and 4 of eight.
+    The one shuffle of pixels, each as one number: its place in the tile and
+    three bytes of colour.  Chroma cells take their pixels in raster order, with
+    weights 1, 1, 2 and 4 of eight.  Array functions computed the planes in boxed
+    numbers; numpy takes many tiles at a time.
     """
-    place = F.expr(f"CAST((y % {size}) * {size} + x % {size} AS INT) AS p")
-    keyed = pixels.select("video_id", "f", F.expr(f"CAST(x div {size} AS INT) AS tx"), F.expr(f"CAST(y div {size} AS INT) AS ty"), place, "r", "g", "b")
-    got = keyed.groupBy(*TILE).agg(F.array_sort(F.collect_list(F.struct("p", "r", "g", "b"))).alias("l"))
-    # a tile at the border lacks pixels: their places are null
-    full = f"CASE WHEN size(l) = {size * size} THEN l ELSE {_let('m', 'map_from_arrays(l.p, l)', f'transform(sequence(0, {size * size - 1}), i -> m[i])')} END"
-    half = size // 2
-    at = lambda i, j: f"CAST((2 * (k div {half}) + {j}) * {size} + 2 * (k % {half}) + {i} AS INT)"
-    micro = {
-        "um": lambda p: f"(128000000L - 168736 * r[{p}] - 331264 * g[{p}] + 500000 * b[{p}])",
-        "vm": lambda p: f"(128000000L + 500000 * r[{p}] - 418688 * g[{p}] - 81312 * b[{p}])",
-    }
-    planes = [f"'ym', transform(sequence(0, {size * size - 1}), k -> CAST(299 * r[k] + 587 * g[k] + 114 * b[k] AS BIGINT))"]
-    for name, value in micro.items():
-        parts = " + ".join(f"{w} * coalesce({value(at(i, j))}, 0L)" for (i, j), w in {(0, 0): 1, (1, 0): 1, (0, 1): 2, (1, 1): 4}.items())
-        planes.append(f"'{name}', transform(sequence(0, {half * half - 1}), k -> CASE WHEN r[{at(0, 0)}] IS NOT NULL THEN CAST(floor(({parts}) / 8000) AS BIGINT) END)")
-    whole = f"named_struct('r', r, 'g', g, 'b', b, {', '.join(planes)})"
-    for c in "bgr":
-        whole = _let(c, f"o.{c}", whole)
-    # the generator computes a row's arrays once, however often they are used later
-    return got.select(*TILE, F.expr(f"inline_outer(array({_let('o', full, whole)}))"))
+    place = f"(y % {size}) * {size} + x % {size}"
+    keyed = pixels.select("video_id", "f", F.expr(f"CAST(x div {size} AS INT) AS tx"), F.expr(f"CAST(y div {size} AS INT) AS ty"), F.expr(f"CAST({place} AS BIGINT) * 16777216 + r * 65536 + g * 256 + b AS px"))
+    got = keyed.groupBy(*TILE).agg(F.collect_list("px").alias("px"))
+    kinds = ", ".join(f"{c} {t}" for c, t in got.select(*TILE).dtypes)
+    arrays = ", ".join([*(f"{c} array<int>" for c in "rgb"), *(f"{p} array<bigint>" for p in ("ym", "um", "vm"))])
+    return got.mapInArrow(partial(_filled, size=size), f"{kinds}, {arrays}")
+
+
+#: Tiles that numpy takes at a time.
+SOME = 256
+
+
+def _filled(batches: Iterator, size: int) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, SOME):
+            part = batch.slice(at, SOME)
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], *_tile_arrays(part.column(4), size)], [*TILE, "r", "g", "b", "ym", "um", "vm"])
+
+
+def _tile_arrays(lists, size: int) -> list:
+    """Colours, luma and chroma of tiles from lists of packed pixels, null outside the frame."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, half = len(lists), size // 2
+    px = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+    place = px >> 24
+    has = np.zeros((n, size * size), bool)
+    has[row, place] = True
+    colours = np.zeros((3, n, size * size), np.int64)
+    for k in range(3):
+        colours[k, row, place] = px >> (16 - 8 * k) & 255
+    r, g, b = colours
+    micro = [(128_000_000 - 168_736 * r - 331_264 * g + 500_000 * b) * has, (128_000_000 + 500_000 * r - 418_688 * g - 81_312 * b) * has]
+    square = lambda a: a.reshape(n, half, 2, half, 2)
+    cells = [square(m) for m in micro]
+    cells = [(c[:, :, 0, :, 0] + c[:, :, 0, :, 1] + 2 * c[:, :, 1, :, 0] + 4 * c[:, :, 1, :, 1]).reshape(n, -1) // 8000 for c in cells]
+    inside = square(has)[:, :, 0, :, 0].reshape(n, -1)
+
+    def listed(values: np.ndarray, known: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+        flat = pa.array(values.ravel(), kind, mask=None if known.all() else ~known.ravel())
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, values.shape[1], dtype=np.int32)), flat)
+
+    planes = [(299 * r + 587 * g + 114 * b, has), (cells[0], inside), (cells[1], inside)]
+    return [*(listed(c, has, pa.int32()) for c in colours), *(listed(v, k, pa.int64()) for v, k in planes)]
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -118,13 +149,8 @@ def _cut_out(plane: str, stride: int, x: str, y: str, n: str) -> str:
     return f"flatten(transform(sequence(0, {n} - 1), j -> slice({plane}, CAST(({y} + j) * {stride} + {x} + 1 AS INT), {n})))"
 
 
-def _square_sum(a: str, b: str) -> str:
-    """Squared differences where ``a`` has a pixel; null if ``b`` lacks one there."""
-    return f"aggregate(zip_with({a}, {b}, (p, q) -> CASE WHEN p IS NULL THEN 0L ELSE (p - q) * (p - q) END), 0L, (t, d) -> t + d)"
-
-
 def block_change(tiles: DataFrame, before: DataFrame | None = None, index: DataFrame | None = None, size: int = 32) -> DataFrame:
-    """Squared differences of every leaf to the same pixels of the previous frame: sy, su, sv and the numbers of pixels ny, nu.
+    """Squared differences of every leaf to the same pixels of the previous frame: sy, su, sv (null if that lacks one) and the numbers of pixels ny, nu.
 
     ``before`` has the tiles of earlier frames, if they are others than
     ``tiles`` itself, and ``index`` each frame's predecessor.
@@ -134,10 +160,45 @@ def block_change(tiles: DataFrame, before: DataFrame | None = None, index: DataF
     before = tiles if before is None else before
     before = before.select("video_id", F.col("f").alias("prev_f"), "tx", "ty", *[F.col(p).alias(p + "0") for p in ("ym", "um", "vm")])
     both = tiles.join(index, ["video_id", "f"]).join(before, ["video_id", "prev_f", "tx", "ty"])
-    part = lambda p, n: _cut_out(p, size // n, f"((l.x - tx * {size}) div {n})", f"((l.y - ty * {size}) div {n})", f"(l.size div {n})")
-    count = lambda p, n: f"aggregate({part(p, n)}, 0L, (t, d) -> t + CASE WHEN d IS NULL THEN 0L ELSE 1L END)"
-    sums = f"named_struct('x', l.x, 'y', l.y, 'size', l.size, 'sy', {_square_sum(part('ym', 1), part('ym0', 1))}, 'ny', {count('ym', 1)}, 'su', {_square_sum(part('um', 2), part('um0', 2))}, 'sv', {_square_sum(part('vm', 2), part('vm0', 2))}, 'nu', {count('um', 2)})"
-    return both.select("video_id", "f", F.expr(f"inline_outer(transform(leaves, l -> {sums}))")).where("size IS NOT NULL")
+    rows = both.select(*TILE, "ym", "um", "vm", "ym0", "um0", "vm0", *[F.expr(f"leaves.{c}").alias(c) for c in ("x", "y", "size")])
+    kinds = [(c, t.removeprefix("array<").removesuffix(">")) for c, t in rows.select(*LEAF).dtypes]
+    sums = [(c, "bigint") for c in ("sy", "ny", "su", "sv", "nu")]
+    return rows.mapInArrow(partial(_leaf_changes, size=size), ", ".join(f"{c} {t}" for c, t in kinds + sums))
+
+
+def _leaf_changes(batches: Iterator, size: int) -> Iterator:
+    import numpy as np
+    import pyarrow as pa
+
+    def plane(lists, side: int) -> tuple[np.ndarray, np.ndarray]:
+        flat = lists.flatten()
+        values, known = flat.fill_null(0).to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False)
+        return values.reshape(-1, side, side), known.reshape(-1, side, side)
+
+    def summed(a: np.ndarray) -> np.ndarray:
+        """Sums of all that lies above and left, so that four of them give any block's sum."""
+        out = np.zeros((a.shape[0], a.shape[1] + 1, a.shape[2] + 1), np.int64)
+        out[:, 1:, 1:] = a.cumsum(1, dtype=np.int64).cumsum(2)
+        return out
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, SOME):
+            part = batch.slice(at, SOME)
+            col = dict(zip(part.schema.names, part.columns, strict=True))
+            places = [col[c].flatten() for c in ("x", "y", "size")]
+            t = np.repeat(np.arange(part.num_rows), col["x"].value_lengths().to_numpy(zero_copy_only=False))
+            x, y, k = (a.to_numpy(zero_copy_only=False) for a in places)
+            x, y = x - size * col["tx"].to_numpy()[t], y - size * col["ty"].to_numpy()[t]
+            out = {}
+            for name, n in (("ym", 1), ("um", 2), ("vm", 2)):
+                (now, inside), (was, had) = plane(col[name], size // n), plane(col[name + "0"], size // n)
+                i, j, m = x // n, y // n, k // n
+                of_leaves = lambda a: (s := summed(a))[t, j + m, i + m] - s[t, j, i + m] - s[t, j + m, i] + s[t, j, i]  # noqa: B023, E731
+                square = of_leaves(np.where(inside & had, now - was, 0) ** 2)
+                out["s" + name[0]] = pa.array(square, pa.int64(), mask=of_leaves(inside & ~had) > 0)
+                out["n" + name[0]] = pa.array(of_leaves(inside), pa.int64())
+            own = pa.array(t)
+            yield pa.RecordBatch.from_arrays([col["video_id"].take(own), col["f"].take(own), *places, *(out[c] for c in ("sy", "ny", "su", "sv", "nu"))], [*LEAF, "sy", "ny", "su", "sv", "nu"])
 
 
 def changed_leaves(tiles: DataFrame, before: DataFrame | None = None, index: DataFrame | None = None, size: int = 32) -> DataFrame:

@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(video_id, f, x, y, r, g, b): six 32x32 frames a video with a moving square."""
+    """(video_id, f, x, y, r, g, b): six 32x32 frames a video with a moving square.
+
+    The table they come from is one small file, so frames are dealt to partitions
+    before their pixels are made: many tasks make them, and what groups pixels
+    by frame or by more needs no other shuffle.
+    """
     axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n)))
     base = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("video_id"))
     base = base.select("video_id", axis(5).alias("f")).where("NOT (f = 5 AND video_id % 10 = 7)")
+    base = base.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "video_id", "f")
     base = base.select("*", axis(31).alias("x")).select("*", axis(31).alias("y"))
     base = base.selectExpr("*", "4 + (video_id % 4) * f AS ox", "4 + (video_id % 3) * f AS oy")
     inside = "x >= ox AND x < ox + 8 AND y >= oy AND y < oy + 8"
