@@ -29,14 +29,14 @@ def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def components(edges: DataFrame, cut: Callable, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, cut: Callable) -> DataFrame:
     """(node, group) for the nodes of the edges (a, b): group is the smallest node reachable.
 
     Large-star and small-star steps in turn, written to the shared folder, until
     every node points at a root; both are a grouped minimum and a join.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
-    for _ in range(most_rounds):
+    while True:
         n = 2 * now.count()
         seen = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("to")), F.struct(F.col("v").alias("node"), F.lit(None).cast("long").alias("to"))))
         ends = now.select(seen.alias("e")).groupBy("e.node").agg(F.min("e.to").alias("lo"), F.max("e.to").alias("hi"), F.count(F.when(F.col("e.to").isNull(), 1)).alias("below"))
@@ -49,8 +49,6 @@ def components(edges: DataFrame, cut: Callable, most_rounds: int = 60) -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         turned = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         now = cut(turned.select("e.u", "e.v").where("u <> v").distinct(), n)
-    else:
-        raise RuntimeError("groups did not settle")
     return ends.select("node", F.coalesce("lo", "node").alias("group"))
 
 
@@ -67,7 +65,6 @@ def linked_groups(
     tables: Scratch,
     pairs_of: Callable[[DataFrame], DataFrame] = all_pairs,
     few: int = 16,
-    most_turns: int = 200,
 ) -> DataFrame:
     """(node, group) of the nodes that link with another one.
 
@@ -77,7 +74,7 @@ def linked_groups(
     (key, node, group, c, alike), ``alike`` being the number of keys with the same
     nodes; it may leave out pairs that can't link.  ``split`` turns such rows
     of larger keys into links (a, b), pairs (a, b) to be verified, and the finer
-    keys' rows (key, node).
+    keys' rows (key, node).  Turns go on until no key has nodes of different groups.
     """
     cut = tables.cut
     pair = [F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")]
@@ -85,7 +82,7 @@ def linked_groups(
     tested, keys = fresh, shared.select("key", "node")
     links = cut(verify(fresh), fresh.count(), deal=True)
     groups = components(links, cut)
-    for _ in range(most_turns):
+    while True:
         at = keys.join(small(groups), "node", "left").select("key", "node", F.coalesce("group", "node").alias("group"))
         cross = at.groupBy("key").agg(
             F.count("*").alias("c"), F.min("group").alias("lo"), F.max("group").alias("hi"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("print")
@@ -109,4 +106,3 @@ def linked_groups(
             groups = components(groups.select(F.col("node").alias("a"), F.col("group").alias("b")).unionByName(more), cut)
         if most <= few:
             return groups
-    raise RuntimeError("keys did not settle")
