@@ -108,6 +108,18 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, F.when(path != "", path).otherwise(top)
 
 
+def markup_language(text: Column) -> Column:
+    """The two-letter language that the text's own markup declares (``<html lang=``, ``xml:lang=``), or null."""
+    found = F.lower(F.regexp_extract(text, r"<[A-Za-z][^<>]{0,200}?\b(?:xml:)?[lL][aA][nN][gG]\s{0,3}=\s{0,3}[\"']?([A-Za-z]{2})\b", 1))
+    return F.when(found != "", found)
+
+
+def link_suffix(text: Column) -> Column:
+    """The language hint (``url_parts``) of the first address in the text, or null."""
+    found = url_parts(F.regexp_extract(text, r"https?://[^\s\"'<>]+", 0))[1]
+    return F.when(found != "", found)
+
+
 def identify(
     docs: DataFrame,
     id_col: str = "doc_id",

@@ -39,6 +39,26 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return own.select(margin, (F.col("t") / total).alias("target"))
 
 
+def stated(cells: DataFrame, margin: str, shares: dict[str, float], power: float) -> DataFrame:
+    """Target shares of one marginal from ``shares``; values that it doesn't name share what is left, tempered.
+
+    Shares are of all tokens and sum to 1 at most.  Those of values without tokens
+    can't be met: the others are scaled up.
+    """
+    if min(shares.values(), default=0) < 0 or sum(shares.values()) > 1 + 1e-9:
+        raise ValueError(f"shares of {margin} must not be negative and sum to 1 at most")
+    spark = cells.sparkSession
+    table = spark.createDataFrame([(k, float(v)) for k, v in shares.items()], "named string, share double")
+    own = tempered(cells, margin, power).join(F.broadcast(table), F.col(margin) == F.col("named"), "left")
+    rest = max(0.0, 1 - sum(shares.values()))
+    other, found = own.agg(F.sum(F.when(F.col("named").isNull(), F.col("target"))), F.sum("share")).first()
+    total = (found or 0.0) + (rest if other else 0.0)
+    if not total:
+        raise ValueError(f"no value of {margin} that has tokens has a share")
+    share = F.coalesce("share", F.col("target") * (rest / other if other else 0.0)) / total
+    return own.select(margin, share.alias("target"))
+
+
 def _goes_on(errors: list[float], rounds: int | None, tolerance: float) -> bool:
     """Whether another round is due: until the tolerance, or until a hundred rounds bring next to nothing."""
     if errors and errors[-1] < tolerance:
@@ -108,14 +128,27 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int | None = N
     return now
 
 
-def mix(docs: DataFrame, power: float = 0.95, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    power: float = 0.95,
+    seed: int = 11,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    topic: Column | None = None,
+    targets: dict[str, dict[str, float]] | None = None,
+) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, tokens, factor, probability, sampled.
 
+    ``targets`` states shares of tokens by margin ("source", "lang", "topic") and
+    value, such as ``{"lang": {"en": 0.5}}``; see ``stated``.  Margins that it leaves
+    out aim at their observed shares to the power ``power``.
+
     Probabilities are the raked factors over the largest one, so expected tokens
     meet the target marginals to 1e-9 of all tokens, or, where the cells allow no
     solution, as far as a warning tells.  Null sources and languages form the
     group ''; texts without words count no tokens, carry no weight and get the
-    smallest probability of their corpus; rows that repeat an id share its draw;
+    smallest probability of their corpus; texts of any length are counted whole;
+    rows that repeat an id share its draw;
     an empty table gives an empty result; clashing extra columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -128,7 +161,12 @@ def mix(docs: DataFrame, power: float = 0.95, seed: int = 11, id_col: str = "doc
     )
     rows = cut(rows)
     cells = rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
-    factors = rake(cells, {m: tempered(cells, m, power) for m in MARGINS})
+    goals = targets or {}
+    if set(goals) - set(MARGINS):
+        raise ValueError(f"targets are by {', '.join(MARGINS)}")
+    filled = cells.where("tokens > 0")
+    aims = {m: stated(filled, m, goals[m], power) if goals.get(m) and filled.head(1) else tempered(cells, m, power) for m in MARGINS}
+    factors = rake(cells, aims)
     ends = factors.agg(F.max("factor").alias("most"), F.min("factor").alias("least")).first()
     most, least = (ends.most or 1.0), (ends.least or 1.0)
     found = salted_lookup(rows, factors.select(*MARGINS, "factor"), list(MARGINS), F.col("doc_id"), 32)

@@ -49,12 +49,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, the markup's declaration before the column's, the first address's suffix and the source's prior."""
     docs = table(spark, sf_dir, "documents")
-    return language.identify(docs, declared=F.col("lang"), host=F.col("source"))
+    declared = F.coalesce(language.markup_language(F.col("text")), F.col("lang"))
+    return language.identify(docs, declared=declared, suffix=language.link_suffix(F.col("text")), host=F.col("source"))
 
 
 def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same fusion over raw web pages, with the markup's language and the address."""
+    """The same fusion over raw web pages, with the markup's language and the address.
+
+    Null pages count as empty and are rejected; null addresses are no evidence;
+    pages of any length, repeated rows and an empty table as in ``identify``.
+    """
     pages = table(spark, sf_dir, "pages")
     host, suffix = language.url_parts(F.col("url"))
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), "<[^>]*>", " ")

@@ -41,9 +41,11 @@ def _rounds(x: Column, side: int, seed: int, inverse: bool) -> Column:
 def permute(x: Column, n: int, seed: int = 0, inverse: bool = False) -> Column:
     """Where row number ``x`` of ``n`` goes; with ``inverse``, which row number went to ``x``.
 
-    The square is less than ``n + 2 sqrt(n) + 1``, so a walk rarely takes a
-    second step.  A walk over 64 steps (chance below ``n * 2**-64``) raises an
-    error, upon which another seed can be taken; no row is ever lost.
+    The square has at most ``2 sqrt(n) + 1`` numbers that are no rows, so a walk
+    rarely takes a second step.  Up to n = 900 no walk can be longer than the 61
+    numbers outside; beyond that 64 steps outside in a row have a chance of at
+    most ``n * (2 / sqrt(n) + 1 / n)**64``, under 1e-70.  Such a walk would raise an
+    error rather than lose a row.
     """
     side = max(1, math.isqrt(max(0, n - 1)) + 1)
     walked = F.aggregate(
