@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import record_size
+from ..sources.shared import by_sort
 
 
 #: Costs of blocks of any size are brought to those of blocks of this many pixels, so that sums stay whole.
@@ -17,7 +18,7 @@ def frame_stats(vectors: DataFrame, uncoded: DataFrame) -> DataFrame:
     area = F.sum(F.col("size") * F.col("size")).cast("long")
     v = vectors.groupBy("video_id", "f").agg(F.count("*").alias("n_vectors"), area.alias("area"), F.sum(F.expr(f"cost * ({WHOLE} div (size * size))")).cast("long").alias("cost"))
     u = uncoded.groupBy("video_id", "f").agg(F.count("*").alias("n_uncoded"), area.alias("uncoded_area"))
-    both = v.join(u, ["video_id", "f"], "full")
+    both = v.join(by_sort(u), ["video_id", "f"], "full")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     error = F.coalesce("cost", F.lit(0)) / (F.coalesce("n_vectors", F.lit(1)) * F.lit(4e6 * WHOLE))
     return both.select("video_id", "f", zero("n_vectors"), zero("area"), error.alias("mean_error"), zero("n_uncoded"), zero("uncoded_area"))
@@ -37,7 +38,7 @@ def payload_bytes(vectors: DataFrame) -> DataFrame:
 def packing_ratio(vectors: DataFrame, pixels: DataFrame) -> DataFrame:
     """Bytes of a frame's records, of its pixels at three bytes each, and the second over the first in thousandths; a frame without vectors has its start byte."""
     raw = pixels.groupBy("video_id", "f").agg((3 * F.count("*")).cast("long").alias("raw_bytes"))
-    both = raw.join(payload_bytes(vectors), ["video_id", "f"], "left").withColumn("bytes", F.coalesce("bytes", F.lit(1)).cast("long"))
+    both = raw.join(by_sort(payload_bytes(vectors)), ["video_id", "f"], "left").withColumn("bytes", F.coalesce("bytes", F.lit(1)).cast("long"))
     return both.select("video_id", "f", "raw_bytes", "bytes", F.expr("raw_bytes * 1000 div bytes").cast("long").alias("ratio_milli"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import motion, rebuild, stats, tiles, transform
 from ..sources.frames import frame_index
+from ..sources.shared import by_sort
 from ..sources.shared import cut as write
 
 #: Earlier frames that a frame may refer to.
@@ -32,27 +33,27 @@ def encode(
     """
     made = tiles.frame_tiles(pixels, root)
     t = cut(tiles.with_leaves(made, root, threshold) if block is None else tiles.grid(made, block, root))
-    changed = cut(tiles.changed_leaves(t, size=root))
+    changed = cut(tiles.changed_blocks(t, size=root))
     most = root if block is None else block
     if window is None:
         vectors = motion.motion_search(changed, t, lo, hi, KEPT, most, root)
     else:
         vectors = motion.combined_search(changed, t, cut, window, lo, hi, KEPT, most, root)
     vectors = cut(vectors)
-    coded = transform.code_blocks(transform.residual_blocks(vectors, t, most, root))
+    coded = transform.code_blocks(transform.residual_blocks(vectors, t, most, root, changed))
     return vectors, coded, stats.frame_stats(vectors, motion.uncoded_blocks(changed, vectors))
 
 
 def _numbered(t: DataFrame, index: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Tiles with the gap-free number of their frame."""
-    return cut(t.join(index.select("video_id", "f", "n"), ["video_id", "f"]))
+    return cut(t.join(by_sort(index.select("video_id", "f", "n")), ["video_id", "f"]))
 
 
 def _step(store: list[DataFrame], now: DataFrame, coded: DataFrame, root: int) -> DataFrame:
     """Tiles of a step's frames: those of the frame before with the coded blocks laid over them."""
     earlier = reduce(DataFrame.unionByName, store)
     before = store[-1].withColumnRenamed("f", "prev_f")
-    base = now.select("video_id", "f", "prev_f").join(before, ["video_id", "prev_f"]).drop("prev_f")
+    base = now.select("video_id", "f", "prev_f").join(by_sort(before), ["video_id", "prev_f"]).drop("prev_f")
     return tiles.painted(base, rebuild.rebuilt_blocks(transform.decode_blocks(coded), earlier, root, root), root)
 
 
@@ -68,11 +69,11 @@ def decode(pixels: DataFrame, coded: DataFrame, cut: Callable[[DataFrame], DataF
     """
     index = cut(frame_index(coded.select("video_id", "f").unionByName(pixels.select("video_id", "f"))))
     coded = cut(coded)
-    first = pixels.join(index.where("n = 0").select("video_id", "f"), ["video_id", "f"], "left_semi")
+    first = pixels.join(by_sort(index.where("n = 0").select("video_id", "f")), ["video_id", "f"], "left_semi")
     out = [cut(tiles.frame_tiles(first, root).select(*tiles.TILE, "ym", "um", "vm"))]
     for n in range(1, (index.agg(F.max("n")).first()[0] or 0) + 1):
         now = index.where(F.col("n") == n)
-        mine = coded.join(now.select("video_id", "f"), ["video_id", "f"], "left_semi")
+        mine = coded.join(by_sort(now.select("video_id", "f")), ["video_id", "f"], "left_semi")
         made = _step(out[-KEPT:], now, mine, root)
         out.append(cut(_smoothed(made, mine, root) if smooth else made))
     return reduce(DataFrame.unionByName, out)
@@ -94,13 +95,13 @@ def encode_closed_loop(
         now, mine = index.where(F.col("n") == n), source.where(F.col("n") == n)
         planes = [t.select(*tiles.TILE, "ym", "um", "vm") for t in (*rebuilt[-KEPT:], mine)]
         both = reduce(DataFrame.unionByName, planes)
-        changed = cut(tiles.changed_leaves(mine, rebuilt[-1], now, root))
-        refs = motion.reference_pairs(both, KEPT, index).join(now.select("video_id", "f"), ["video_id", "f"], "left_semi")
+        changed = cut(tiles.changed_blocks(mine, rebuilt[-1], now, root))
+        refs = motion.reference_pairs(both, KEPT, index).join(by_sort(now.select("video_id", "f")), ["video_id", "f"], "left_semi")
         costs = motion.match_cost(changed, refs, both, most=root, size=root)
         if window is not None:
             costs = costs.unionByName(motion.pattern_search(changed, both, cut, window, KEPT, root, root, refs))
         vectors = cut(motion.as_vectors(motion.best_match(costs), refs))
-        coded = cut(transform.code_blocks(transform.residual_blocks(vectors, both, root, root)))
+        coded = cut(transform.code_blocks(transform.residual_blocks(vectors, both, root, root, changed)))
         made = _step(rebuilt[-KEPT:], now, coded, root)
         rebuilt.append(cut(_smoothed(made, vectors, root) if smooth else made))
         found.append(vectors)
