@@ -18,16 +18,31 @@ def pack_parts(coded: DataFrame) -> DataFrame:
 
     ``coded`` has vectors with levels (``transform.code_blocks``), of any sizes.
     """
-    levels = F.transform(F.concat("ly", "lu", "lv"), lambda v: F.lpad(F.hex(fn.signmag7(v)), 2, "0"))
     head = F.concat(
         fn.big_endian(F.col("pos_x"), 2), fn.big_endian(F.col("pos_y"), 2), fn.big_endian(fn.signmag7(F.col("span_x")), 1),
         fn.big_endian(fn.signmag7(F.col("span_y")), 1), fn.big_endian(fn.refsize(F.col("ref"), F.col("size")), 1),
     )
-    rows = coded.select("video_id", "f", "x", "y", F.concat(head, F.array_join(levels, "")).alias("h"))
+    keys = coded.select("video_id", "f", "x", "y", head.alias("head"), F.concat("ly", "lu", "lv").alias("l"))
+    kinds = ", ".join(f"{c} {t}" for c, t in keys.dtypes[:5])
+    rows = keys.mapInArrow(_level_codes, f"{kinds}, codes binary").select("video_id", "f", "x", "y", F.concat("head", F.hex("codes")).alias("h"))
     parts = rows.groupBy("video_id", "f").agg(F.array_sort(F.collect_list(F.struct("x", "y", "h"))).alias("r"))
     return parts.select("video_id", "f", F.unhex(F.concat(F.lit("01"), F.array_join("r.h", ""))).alias("payload"))
 
 
+def _level_codes(batches: Iterator) -> Iterator:
+    """Levels as bytes of sign and magnitude (``scalars.signmag7``)."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        lists = batch.column(5)
+        v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        code = (abs(v) & 127 | np.where(v < 0, 128, 0)).astype(np.uint8)
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
+        codes = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(code)])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], codes], ["video_id", "f", "x", "y", "head", "codes"])
+
+
 def record_bytes(parts: DataFrame) -> DataFrame:
     """(video_id, f, no, record): payloads cut into their records.
 
