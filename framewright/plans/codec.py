@@ -31,8 +31,7 @@ def encode(
     that far around a block before the small window lo..hi is tried.  Tiles,
     changed leaves and vectors are written once by ``cut``.
     """
-    made = tiles.frame_tiles(pixels, root)
-    t = cut(tiles.with_leaves(made, root, threshold) if block is None else tiles.grid(made, block, root))
+    t = cut(tiles.leafy_tiles(pixels, root, threshold) if block is None else tiles.grid(tiles.frame_tiles(pixels, root), block, root))
     changed = cut(tiles.changed_blocks(t, size=root))
     most = root if block is None else block
     if window is None:
@@ -88,7 +87,7 @@ def encode_closed_loop(
     four steps' rebuilt tables.
     """
     index = cut(frame_index(pixels))
-    source = _numbered(tiles.with_leaves(tiles.frame_tiles(pixels, root), root, threshold), index, cut)
+    source = _numbered(tiles.leafy_tiles(pixels, root, threshold), index, cut)
     rebuilt = [cut(source.where("n = 0").select(*tiles.TILE, "ym", "um", "vm"))]
     found, kept, left = [], [], []
     for n in range(1, (index.agg(F.max("n")).first()[0] or 0) + 1):

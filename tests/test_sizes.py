@@ -4,6 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from framewright.operators import tiles, transform
 from framewright.queries import Q
 from framewright.sources import fixtures, frames
@@ -77,3 +79,30 @@ def test_leaves_of_a_tile_that_leaves_the_frame():
     assert sorted({(leaf["x"], leaf["size"]) for leaf in got}) == [(16, 4), (20, 4)] and len(got) == 8
     first = next(leaf for leaf in got if (leaf["x"], leaf["y"]) == (16, 0))
     assert first["r"] == int(sum(i * 3 + j for i in range(4) for j in range(4)) // 16)
+
+
+def test_tiles_put_together_from_parts(spark):
+    """Tiles of pixels in any order, with holes, in many batches and tasks; no list of pixels is collected."""
+    rng = np.random.default_rng(3)
+    rows = [(v, f, x, y, *(int(c) for c in rng.integers(0, 256, 3))) for v in (1, 2) for f in range(2) for x in range(37) for y in range(21) if (v, f, x % 5, y) != (2, 1, 3, 7)]
+    rng.shuffle(rows)
+    px = spark.createDataFrame([tuple(map(int, r)) for r in rows], "video_id long, f int, x int, y int, r int, g int, b int").repartition(5)
+    want = {}
+    for v, f, x, y, *colours in rows:
+        want.setdefault((v, f, x // 16, y // 16), {})[y % 16 * 16 + x % 16] = tuple(map(int, colours))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = tiles.frame_tiles(px, 16)
+        assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {(t.video_id, t.f, t.tx, t.ty): t for t in found.collect()}
+        leaves = sorted(tuple(r) for r in tiles.leaf_rows(px, 16).collect())
+        planes = {(t.video_id, t.f, t.tx, t.ty): t for t in tiles.leafy_tiles(px, 16).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() == planes.keys()
+    for key, pixels in want.items():
+        t = got[key]
+        assert {i: (r, g, b) for i, (r, g, b) in enumerate(zip(t.r, t.g, t.b, strict=True)) if r is not None} == pixels
+        assert [t.ym[i] for i in pixels] == [299 * r + 587 * g + 114 * b for r, g, b in pixels.values()]
+        assert all((planes[key].ym, planes[key].um, planes[key].vm)[k] == (t.ym, t.um, t.vm)[k] for k in range(3))
+    assert leaves == sorted(tuple(r) for r in tiles.with_leaves(tiles.frame_tiles(px, 16), 16).select("video_id", "f", F.inline("leaves")).collect())
