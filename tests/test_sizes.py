@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from framewright.operators import tiles, transform
+from framewright.operators import motion, tiles, transform
 from framewright.queries import Q
 from framewright.sources import fixtures, frames
 from framewright.sources.shared import cut
@@ -106,3 +106,31 @@ def test_tiles_put_together_from_parts(spark):
         assert [t.ym[i] for i in pixels] == [299 * r + 587 * g + 114 * b for r, g, b in pixels.values()]
         assert all((planes[key].ym, planes[key].um, planes[key].vm)[k] == (t.ym, t.um, t.vm)[k] for k in range(3))
     assert leaves == sorted(tuple(r) for r in tiles.with_leaves(tiles.frame_tiles(px, 16), 16).select("video_id", "f", F.inline("leaves")).collect())
+
+
+def test_packed_tiles_give_what_their_planes_give(spark):
+    """Changes and costs of frames of many tiles, some lacking pixels or a tile, in small batches."""
+    px = fixtures.pixels(spark, SMALL).where("video_id IN (2, 3, 5, 7) AND x < 29 AND y < 27")
+    px = px.where("NOT (video_id = 3 AND f = 2)").where("NOT (video_id = 5 AND f = 1 AND x >= 16)").where("NOT (video_id = 7 AND f = 3 AND x > 13 AND x < 19)")
+    t = cut(tiles.leafy_tiles(px, 16))
+    plain = t.drop("has", "rgb")
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    refs = motion.reference_pairs(px)
+    want, costs = rows(tiles.changed_blocks(plain, size=16)), rows(motion.match_cost(tiles.changed_blocks(plain, size=16), refs, plain, most=16, size=16))
+    sums = rows(tiles.block_change(plain, size=16))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        packed = tiles.changed_blocks(t, size=16)
+        assert rows(packed) == want and want
+        assert rows(tiles.block_change(t, size=16)) == sums
+        assert rows(motion.match_cost(packed, refs, t, most=16, size=16)) == costs and costs
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_search_shuffles_no_planes(spark):
+    """What goes to the tile before and to the references is the packed tile, not its planes."""
+    t = cut(tiles.leafy_tiles(fixtures.pixels(spark, SMALL)))
+    for found in (tiles.changed_blocks(t), tiles.references(t, 32)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "rgb" in plan and "ym" not in plan
