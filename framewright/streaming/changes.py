@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from ..operators import tiles
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 IMAGE = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 BLOCK = 8
@@ -43,19 +45,11 @@ def stream_images(spark: SparkSession, path: str, per_trigger: int | None = 1) -
     )
 
 
-def _planes(rows: pd.DataFrame, tile: int) -> tuple[np.ndarray, np.ndarray]:
+def _planes(has: np.ndarray, rgb: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
     """Luma (tile x tile) and the two chroma planes (2 x half x half) of a tile in thousandths, -1 outside the frame."""
-    px = np.zeros((3, tile, tile), np.int64)
-    has = np.zeros((tile, tile), bool)
-    y, x = rows.y.to_numpy() % tile, rows.x.to_numpy() % tile
-    has[y, x] = True
-    for k, c in enumerate("rgb"):
-        px[k, y, x] = rows[c].to_numpy()
-    r, g, b = px
-    luma = np.where(has, 299 * r + 587 * g + 114 * b, -1)
-    micro = np.stack([128_000_000 - 168_736 * r - 331_264 * g + 500_000 * b, 128_000_000 + 500_000 * r - 418_688 * g - 81_312 * b]) * has
-    cells = micro[:, ::2, ::2] + micro[:, ::2, 1::2] + 2 * micro[:, 1::2, ::2] + 4 * micro[:, 1::2, 1::2]
-    return luma, np.where(has[::2, ::2], cells // 8000, -1)
+    (y, known), *chroma = tiles.planes_of(has[None], rgb[:, None], tile)
+    half = tile // 2
+    return np.where(known, y, -1).astype(np.int64).reshape(tile, tile), np.stack([np.where(inside, v, -1).astype(np.int64).reshape(half, half) for v, inside in chroma])
 
 
 def _exceeds(now: np.ndarray, before: np.ndarray, limit: int, size: int) -> np.ndarray:
@@ -78,18 +72,25 @@ class _Changes(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         video, tx, ty = key
-        got = pd.concat(list(rows))
+        got: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for part in rows:
+            for f, bits, packed in zip(part.f, part.has, part.rgb, strict=True):
+                has = np.unpackbits(np.frombuffer(bits, np.uint8), count=self.tile * self.tile).view(bool)
+                rgb = np.frombuffer(packed, np.uint8).reshape(3, -1)
+                if f in got:
+                    has, rgb = got[f][0] | has, np.where(has, rgb, got[f][1])
+                got[f] = has, rgb
         half, n, out, before = self.tile // 2, self.tile // BLOCK, [], None
         last = -1
         if self.last.exists():
             last, luma, chroma = self.last.get()
             before = np.frombuffer(luma, np.int32).reshape(self.tile, self.tile), np.frombuffer(chroma, np.int32).reshape(2, half, half)
         began = last
-        for f, frame in got.groupby("f", sort=True):
+        for f, frame in sorted(got.items()):
             if f <= began:
                 out.append((video, int(f), tx * n, ty * n, True))
                 continue
-            now = _planes(frame, self.tile)
+            now = _planes(*frame, self.tile)
             if before is not None:
                 changed = _exceeds(now[0], before[0], 1_550_000, BLOCK)
                 for plane in (0, 1):
@@ -108,10 +109,10 @@ def stream_changed_blocks(pixels: DataFrame, tile: int = 32) -> DataFrame:
     """Changed 8x8 blocks (video_id, f, bx, by, late) against the previous frame seen.
 
     State is kept by tile.  A late frame gives one row a tile, ``late`` being
-    true, at the tile's first block.
+    true, at the tile's first block.  Tasks pack what they read of a tile
+    into one row a batch, so that the state's shuffle has few rows.
     """
-    keyed = pixels.withColumns({"tx": F.expr(f"CAST(x div {tile} AS INT)"), "ty": F.expr(f"CAST(y div {tile} AS INT)")})
-    return keyed.groupBy("video_id", "tx", "ty").transformWithStateInPandas(
+    return tiles.packed(pixels, tile, lines=False).groupBy("video_id", "tx", "ty").transformWithStateInPandas(
         _Changes(tile), "video_id long, f int, bx int, by int, late boolean", "Append", "None"
     )
 

@@ -141,3 +141,18 @@ def test_rewriting_one_video_leaves_the_others(spark, small, tmp_path):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert {r.at.split("/")[-2] for r in one.select(F.input_file_name().alias("at")).distinct().collect()} == {"video_id=2"}
     assert "PartitionFilters: [isnotnull(video_id" in plan
+
+
+def test_stream_state_gets_tiles_not_pixels(spark, small, batch, tmp_path):
+    """Tasks pack what they read of a tile; a frame that lands in pieces, of several files and batches of rows, is put together."""
+    for k in range(3):
+        small.where(f"(x + 2 * y) % 3 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        found = changes.stream_changed_blocks(changes.stream_frames(spark, str(tmp_path / "in"), small.schema, None))
+        plan = found._jdf.queryExecution().analyzed().toString()
+        assert "has" in plan and "rgb" in plan
+        run(found, tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert rows(sink.read_committed(spark, str(tmp_path / "out"), found.schema).where("NOT late"), *BLOCKS) == batch
