@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import motion, rebuild, stats, tiles, transform
 from ..sources.frames import frame_index
-from ..sources.shared import by_sort
+from ..sources.shared import by_sort, deal
 from ..sources.shared import cut as write
 
 #: Earlier frames that a frame may refer to.
@@ -31,7 +31,8 @@ def encode(
     that far around a block before the small window lo..hi is tried.  Tiles,
     changed leaves and vectors are written once by ``cut``.
     """
-    t = cut(tiles.leafy_tiles(pixels, root, threshold) if block is None else tiles.grid(tiles.frame_tiles(pixels, root), block, root))
+    t = tiles.leafy_tiles(pixels, root, threshold, planes=False) if block is None else tiles.grid(tiles.frame_tiles(pixels, root), block, root)
+    t = cut(t.select(*tiles.TILE, "leaves", "has", "rgb"))
     changed = cut(tiles.changed_blocks(t, size=root))
     most = root if block is None else block
     if window is None:
@@ -43,21 +44,18 @@ def encode(
     return vectors, coded, stats.frame_stats(vectors, motion.uncoded_blocks(changed, vectors))
 
 
-def _numbered(t: DataFrame, index: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Tiles with the gap-free number of their frame."""
-    return cut(t.join(by_sort(index.select("video_id", "f", "n")), ["video_id", "f"]))
+def _numbered(df: DataFrame, index: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows with the gap-free number of their frame, in its order in each file, so that a step reads its own."""
+    return cut(df.join(by_sort(index.select("video_id", "f", "n")), ["video_id", "f"]).sortWithinPartitions("n"))
 
 
-def _step(store: list[DataFrame], now: DataFrame, coded: DataFrame, root: int) -> DataFrame:
-    """Tiles of a step's frames: those of the frame before with the coded blocks laid over them."""
-    earlier = reduce(DataFrame.unionByName, store)
-    before = store[-1].withColumnRenamed("f", "prev_f")
-    base = now.select("video_id", "f", "prev_f").join(by_sort(before), ["video_id", "prev_f"]).drop("prev_f")
-    return tiles.painted(base, rebuild.rebuilt_blocks(transform.decode_blocks(coded), earlier, root, root), root)
-
-
-def _smoothed(t: DataFrame, vectors: DataFrame, root: int) -> DataFrame:
-    return tiles.with_luma(t, rebuild.deblock(tiles.to_planes(t, root)[0], vectors), root)
+def _step(before: DataFrame, now: DataFrame, blocks: DataFrame, root: int) -> DataFrame:
+    """Tiles of a step's frames: those of the step before, of one frame a video, with the rebuilt blocks laid over them."""
+    at = [F.expr(f"CAST({c} div {root} AS INT) AS t{c}") for c in "xy"]
+    rows = blocks.select("video_id", *at, F.struct("x", "y", "size", "yb", "ub", "vb").alias("b"))
+    lists = deal(rows, "video_id").groupBy("video_id", "tx", "ty").agg(F.collect_list("b").alias("bs"))
+    base = deal(before.drop("f"), "video_id").join(by_sort(deal(now.select("video_id", "f"), "video_id")), "video_id")
+    return tiles.laid(base.join(by_sort(lists), ["video_id", "tx", "ty"], "left"), root)
 
 
 def decode(pixels: DataFrame, coded: DataFrame, cut: Callable[[DataFrame], DataFrame] = write, smooth: bool = False, root: int = 32) -> DataFrame:
@@ -67,14 +65,14 @@ def decode(pixels: DataFrame, coded: DataFrame, cut: Callable[[DataFrame], DataF
     tables only, so the work of a step doesn't grow with the length of a video.
     """
     index = cut(frame_index(coded.select("video_id", "f").unionByName(pixels.select("video_id", "f"))))
-    coded = cut(coded)
-    first = pixels.join(by_sort(index.where("n = 0").select("video_id", "f")), ["video_id", "f"], "left_semi")
+    coded = _numbered(coded, index, cut)
+    first = pixels.join(index.where("n = 0").select("video_id", "f").hint("shuffle_hash"), ["video_id", "f"], "left_semi")  # a merge would sort all pixels
     out = [cut(tiles.frame_tiles(first, root).select(*tiles.TILE, "ym", "um", "vm"))]
     for n in range(1, (index.agg(F.max("n")).first()[0] or 0) + 1):
         now = index.where(F.col("n") == n)
-        mine = coded.join(by_sort(now.select("video_id", "f")), ["video_id", "f"], "left_semi")
-        made = _step(out[-KEPT:], now, mine, root)
-        out.append(cut(_smoothed(made, mine, root) if smooth else made))
+        mine = coded.where(F.col("n") == n)
+        made = _step(out[-1], now, rebuild.rebuilt_blocks(transform.decode_blocks(mine), reduce(DataFrame.unionByName, out[-KEPT:]), root, root), root)
+        out.append(cut(rebuild.smoothed(made, mine, size=root) if smooth else made))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -88,23 +86,23 @@ def encode_closed_loop(
     """
     index = cut(frame_index(pixels))
     source = _numbered(tiles.leafy_tiles(pixels, root, threshold), index, cut)
+    pairs = _numbered(motion.reference_pairs(pixels, KEPT, index), index, cut)
     rebuilt = [cut(source.where("n = 0").select(*tiles.TILE, "ym", "um", "vm"))]
     found, kept, left = [], [], []
     for n in range(1, (index.agg(F.max("n")).first()[0] or 0) + 1):
-        now, mine = index.where(F.col("n") == n), source.where(F.col("n") == n)
-        planes = [t.select(*tiles.TILE, "ym", "um", "vm") for t in (*rebuilt[-KEPT:], mine)]
-        both = reduce(DataFrame.unionByName, planes)
+        now, mine, refs = (t.where(F.col("n") == n) for t in (index, source, pairs))
+        refs, store = refs.drop("n"), reduce(DataFrame.unionByName, rebuilt[-KEPT:])
         changed = cut(tiles.changed_blocks(mine, rebuilt[-1], now, root))
-        refs = motion.reference_pairs(both, KEPT, index).join(by_sort(now.select("video_id", "f")), ["video_id", "f"], "left_semi")
-        costs = motion.match_cost(changed, refs, both, most=root, size=root)
+        costs = motion.match_cost(changed, refs, store, most=root, size=root)
         if window is not None:
-            costs = costs.unionByName(motion.pattern_search(changed, both, cut, window, KEPT, root, root, refs))
-        vectors = cut(motion.as_vectors(motion.best_match(costs), refs))
-        coded = cut(transform.code_blocks(transform.residual_blocks(vectors, both, root, root, changed)))
-        made = _step(rebuilt[-KEPT:], now, coded, root)
-        rebuilt.append(cut(_smoothed(made, vectors, root) if smooth else made))
+            costs = costs.unionByName(motion.pattern_search(changed, store, cut, window, KEPT, root, root, refs))
+        vectors = motion.as_vectors(motion.best_match(costs), refs)
+        coded = cut(transform.code_blocks(transform.residual_blocks(vectors, store, root, root, changed, matches=True)))
+        vectors = coded.select(*vectors.columns)
+        made = _step(rebuilt[-1], now, transform.rebuilt_coded(coded), root)
+        rebuilt.append(cut(rebuild.smoothed(made, vectors, size=root) if smooth else made))
         found.append(vectors)
-        kept.append(coded)
+        kept.append(coded.drop("yp", "up", "vp"))
         left.append(motion.uncoded_blocks(changed, vectors))
     if not found:
         raise ValueError("no video has a second frame")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.operators import motion, planes, rebuild, tiles, transform
+from framewright.plans import codec
 from framewright.queries import Q
 from framewright.sources import fixtures, frames
 from framewright.sources.shared import cut
@@ -86,3 +87,26 @@ def test_smoothing_by_tiles(odd, packed):
 def test_rebuilding_joins_no_rows_of_pixels(spark, name):
     plan = Q[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and not re.findall(r"SortMergeJoin \[video_id#\d+L?, \w+#\d+, x#\d+, y#\d+\]", plan)
+
+
+@pytest.mark.parametrize("smooth", [True, False])
+def test_both_loops_by_tiles(odd, smooth):
+    """What the closed loop rebuilds, in frames of several tiles with parts missing, is what decode rebuilds from its records."""
+    px, *_ = odd
+    some = px.where("video_id IN (2, 3) AND f <= 3")
+    _, coded, _, made = codec.encode_closed_loop(some, smooth=smooth, root=16)
+    again = codec.decode(some, coded, smooth=smooth, root=16)
+    assert rows(again, *tiles.TILE, "ym", "um", "vm") == rows(made, *tiles.TILE, "ym", "um", "vm") and made.count() == 7 * 4
+
+
+def test_a_step_works_on_tiles(odd):
+    """Blocks are matched, laid over tiles and smoothed by numpy on tiles, not by expressions over single samples or rows of pixels."""
+    _, t, changed, vectors = odd
+    plain = cut(t.select(*tiles.TILE, "ym", "um", "vm"))
+    coded = cut(transform.code_blocks(transform.residual_blocks(vectors, plain, 16, 16, changed)))
+    index = frames.frame_index(t)
+    blocks = rebuild.rebuilt_blocks(transform.decode_blocks(coded), plain, 16, 16)
+    step = codec._step(plain.where("f = 0"), index.where("f = 1"), blocks, 16)
+    for made in (step, rebuild.smoothed(cut(step), vectors, size=16)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "zip_with" not in plan and "transform(" not in plan and "posexplode" not in plan
