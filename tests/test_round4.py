@@ -110,3 +110,24 @@ def test_a_step_works_on_tiles(odd):
     for made in (step, rebuild.smoothed(cut(step), vectors, size=16)):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "zip_with" not in plan and "transform(" not in plan and "posexplode" not in plan
+
+
+def test_frontiers_walk_over_tiles(odd):
+    """In frames of several tiles the walk's ends have the costs that the window search has there, in packed tiles and in planes, and no round is a job."""
+    px, t, changed, _ = odd
+    written = []
+
+    def count(df):
+        written.append(df)
+        return cut(df)
+
+    found = motion.pattern_search(changed, t, count, window=6, most=16, size=16)
+    assert len(written) == 1
+    plain = motion.pattern_search(changed, t.drop("has", "rgb"), count, window=6, most=16, size=16)
+    assert rows(found) == rows(plain)
+    refs = motion.reference_pairs(px)
+    costs = motion.match_cost(changed, refs, t, -6, 6, 16, 16)
+    assert rows(found) == rows(found.drop("cost").join(costs, list(motion.CANDIDATE))) and found.where("abs(dx) > 4 OR abs(dy) > 4").count() > 10
+    stay = costs.where("dx = 0 AND dy = 0").selectExpr(*motion.PLACE, "cost AS c0")
+    assert found.join(stay, list(motion.PLACE)).where("cost > c0").count() == 0
+    assert found.select(*motion.PLACE).distinct().count() == found.count() == costs.select(*motion.PLACE).distinct().count()
