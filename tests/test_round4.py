@@ -1,6 +1,7 @@
 """Queries that left out part of their work, and rebuilding by tiles against rows of pixels."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from framewright.operators import motion, planes, rebuild, tiles, transform
 from framewright.plans import codec
 from framewright.queries import Q
 from framewright.sources import fixtures, frames
-from framewright.sources.shared import cut
+from framewright.sources.shared import CLEANUP, cut
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -131,3 +132,17 @@ def test_frontiers_walk_over_tiles(odd):
     stay = costs.where("dx = 0 AND dy = 0").selectExpr(*motion.PLACE, "cost AS c0")
     assert found.join(stay, list(motion.PLACE)).where("cost > c0").count() == 0
     assert found.select(*motion.PLACE).distinct().count() == found.count() == costs.select(*motion.PLACE).distinct().count()
+
+
+def test_a_written_table_leaves_no_shuffle(spark):
+    """Shuffle files go when the table is there, not when the driver collects its memory; the session's setting stays."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" ")))
+    before, given = shuffles(), spark.conf.get(CLEANUP, None)
+    got = cut(spark.range(100_000).repartition(8, "id"))
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= before
+    assert got.count() == 100_000 and spark.conf.get(CLEANUP, None) == given
